@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .exact import OP5_SQL, op5_exact
 from .packing import op10_pack
+from .shards import op4_shards
 
-QUERIES = {"op10_pack": op10_pack}
+QUERIES = {"op4_shards": op4_shards, "op5_exact": op5_exact, "op10_pack": op10_pack}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_exact": OP5_SQL}
