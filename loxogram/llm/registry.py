@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from .exact import OP5_SQL, op5_exact
+from .langid import op1_langid
 from .packing import op10_pack
+from .quality import op7_quality
 from .shards import op4_shards
+from .simhash import op2_simhash
 
-QUERIES = {"op4_shards": op4_shards, "op5_exact": op5_exact, "op10_pack": op10_pack}
+QUERIES = {"op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_shards": op4_shards, "op5_exact": op5_exact, "op7_quality": op7_quality, "op10_pack": op10_pack}
 
 ORACLE_SQL: dict[str, str] = {"op5_exact": OP5_SQL}
