@@ -36,38 +36,53 @@ class WordCache:
     """Ids of texts by way of their whitespace-separated words.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its
-    words in order. A word of ASCII splits further into the tokenizer's own pre-tokens. Only what was
-    not met before is encoded, all of a batch in one call. The cache holds a bounded number of words.
+    words in order. A word of printable ASCII splits further into the tokenizer's own pre-tokens, which need
+    its merges alone. Only what was not met before is encoded, many words in one call. The cache
+    holds a bounded number of words.
     """
 
-    LIMIT, LONG = 600_000, 48
+    LIMIT, LONG, CALL = 1_000_000, 48, 500
     #: The pre-tokenizer's pattern for ASCII after lower-casing (fixed value of the vocabulary file).
     PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
     #: str.split() parts words here, the tokenizer doesn't; and strings that it reads as special ids.
     ODD = re.compile("[\x1c-\x1f]|<\\|(?:startoftext|endoftext)\\|>")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, new: list[str], into: dict[str, bytes]) -> None:
-        """One call for all: offsets tell which word a token comes from."""
-        if not new:
-            return
-        e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        ends = np.cumsum([len(w) + 1 for w in new])
-        ids = np.array(e.ids, dtype="<u4")
-        at = np.searchsorted(ends, np.array(e.offsets, dtype=np.int64).reshape(-1, 2)[:, 0], side="right")
-        cuts = np.searchsorted(at, np.arange(len(new) + 1)) * 4
-        raw = ids.tobytes()
-        for w, a, b in zip(new, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            into[w] = raw[a:b]
+    def learn(self, new: list[str]) -> None:
+        """Any other words: offsets tell which word a token comes from."""
+        for k in range(0, len(new), self.CALL):
+            some = new[k : k + self.CALL]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ends = np.cumsum([len(w) + 1 for w in some])
+            at = np.searchsorted(ends, [a for a, _ in e.offsets], side="right")
+            cuts = (4 * np.searchsorted(at, np.arange(len(some) + 1))).tolist()
+            raw = np.array(e.ids, dtype="<u4").tobytes()
+            for w, a, b in zip(some, cuts, cuts[1:], strict=False):
+                self.words[w] = raw[a:b]
+
+    def learn_parts(self, new: list[str]) -> None:
+        """Pre-tokens of lower-case ASCII: the last token of each is one that ends a word."""
+        for k in range(0, len(new), self.CALL):
+            some = new[k : k + self.CALL]
+            ids = np.array(self.merges.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            for w, a, b in zip(some, [0, *cuts], cuts, strict=False):
+                self.parts[w] = raw[a:b]
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         if len(self.words) > self.LIMIT:
@@ -76,9 +91,9 @@ class WordCache:
             self.parts.clear()
         split = [None if t is None or self.ODD.search(t) else t.split() for t in texts]
         unseen = set().union(*(s for s in split if s)) - self.words.keys()
-        ascii_words = {w: self.PARTS.findall(w.lower()) for w in unseen if w.isascii()}
-        self.learn(sorted(set().union(*ascii_words.values()) - self.parts.keys()), self.parts)
-        self.learn(sorted(w for w in unseen if not w.isascii()), self.words)
+        ascii_words = {w: self.PARTS.findall(w.lower()) for w in unseen if w.isascii() and w.isprintable()}
+        self.learn_parts(list(set().union(*ascii_words.values()) - self.parts.keys()))
+        self.learn([w for w in unseen if w not in ascii_words])
         for w, parts in ascii_words.items():
             self.words[w] = b"".join([self.parts[p] for p in parts])
         get = self.words.__getitem__
