@@ -65,6 +65,7 @@ def exact_groups(docs: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
     rows = rows.join(identities(docs, block), "rid", "left").withColumn("uid", F.monotonically_increasing_id())
     rows = materialize(rows, "named")
     groups = rows.where("name is not null").groupBy("level", "name").agg(F.max(F.struct("doc_id", "uid")).alias("top"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialize(groups, "groups")  # written, so that the join with it can be split at a hot group
     shared = rows.join(groups, ["level", "name"]).select(
         "doc_id", "rid", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("top.uid")).alias("kept"), "text_sha256"
     )
