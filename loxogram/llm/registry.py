@@ -10,7 +10,8 @@ from .sentspans import op3_spans
 from .shards import op4_shards
 from .simhash import op2_simhash
 from .warc import OP6_SQL, op6_warc
+from .winnow import op8_winnow
 
-QUERIES = {"op1_langid": op1_langid, "op2_simhash": op2_simhash, "op3_spans": op3_spans, "op4_shards": op4_shards, "op5_exact": op5_exact, "op6_warc": op6_warc, "op7_quality": op7_quality, "op10_pack": op10_pack}
+QUERIES = {"op1_langid": op1_langid, "op2_simhash": op2_simhash, "op3_spans": op3_spans, "op4_shards": op4_shards, "op5_exact": op5_exact, "op6_warc": op6_warc, "op7_quality": op7_quality, "op8_winnow": op8_winnow, "op10_pack": op10_pack}
 
 ORACLE_SQL: dict[str, str] = {"op5_exact": OP5_SQL, "op6_warc": OP6_SQL}
