@@ -118,9 +118,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: in
     share = F.when(F.col("quality") == 1, per_class / max(1, sizes.get(1, 1))).otherwise(per_class / max(1, sizes.get(0, 1)))
     sample = F.broadcast(known.where(draw < share))  # about 2 x per_class rows of two numbers
     featured = F.pandas_udf(lambda texts: pd.Series(list(_feature_rows(texts))), "array<double>")(F.col("text"))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("quality", featured.alias("x")).orderBy(F.xxhash64("x"), "quality").collect()
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("quality", featured.alias("x")).collect()
     if not rows:
         return Ranker(np.empty((0, 1)), np.empty(0))
+    rows.sort(key=lambda r: (r["quality"], r["x"]))  # the fit does not depend on the order of tasks
     return Ranker(np.array([r["x"] for r in rows]), np.array([r["quality"] for r in rows]), seed=seed)
 
 
