@@ -109,12 +109,13 @@ def cut_column(text: Column, places: Column, span: int = SPAN) -> Column:
 
 
 def drop_repeated_runs(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with text cut, and the columns n_sentences and n_removed."""
+    """``docs`` with text cut, and the columns n_sentences and n_removed (which replace columns of these names)."""
     at = repeated_runs(docs, span, min_words).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("_at"))
     at = at.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "_at")
     joined = docs.join(at, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
     cut = joined.withColumn("_cut", cut_column(F.col("text"), F.col("_at"), span))
-    return cut.select(*[F.col("_cut.text").alias("text") if c == "text" else F.col(c) for c in docs.columns], "_cut.n_sentences", "_cut.n_removed")
+    kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
+    return cut.select(*[F.col("_cut.text").alias("text") if c == "text" else F.col(c) for c in kept], "_cut.n_sentences", "_cut.n_removed")
 
 
 def op3_spans(spark, sf_dir: str) -> DataFrame:
