@@ -200,7 +200,9 @@ class WarcReader(DataSourceReader):
         found = system.get_file_info(pafs.FileSelector(root, recursive=True))
         return [ArchivePartition(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and re.search(r"(^|/)[^_./][^/]*\.warc(\.gz)?$", x.path)]
 
-    def read(self, partition: ArchivePartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ArchivePartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an empty plan
+            return
         system, _ = open_folder(self.path)
         with system.open_input_file(partition.path) as raw:
             packed = partition.path.endswith(".gz")
