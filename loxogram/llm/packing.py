@@ -20,12 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-SEQUENCE, END_ID, GROUP_PIECES = 4096, 1, 50_000
+SEQUENCE, END_ID, GROUP_PIECES, BATCH_BYTES = 4096, 1, 50_000, 12 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
@@ -36,23 +37,29 @@ class WordCache:
     """Ids of texts by way of their whitespace-separated words.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its
-    words in order. A word of printable ASCII splits further into the tokenizer's own pre-tokens, which need
-    its merges alone. Only what was not met before is encoded, many words in one call. The cache
-    holds a bounded number of words.
+    words in order. A word of printable ASCII and Latin-1 letters splits further into the tokenizer's own
+    pre-tokens, which need its merges alone. Only what was not met before is encoded, many words in one
+    call. The cache holds a bounded number of words.
     """
 
     LIMIT, LONG, CALL = 1_000_000, 48, 500
-    #: The pre-tokenizer's pattern for ASCII after lower-casing (fixed value of the vocabulary file).
-    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-    #: str.split() parts words here, the tokenizer doesn't; and strings that it reads as special ids.
-    ODD = re.compile("[\x1c-\x1f]|<\\|(?:startoftext|endoftext)\\|>")
+    #: The pre-tokenizer's pattern for these characters after lower-casing (fixed value of the vocabulary file).
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+|\n")
+    PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
+    #: Arrow parts words at the first four, the tokenizer doesn't; the others it reads as special ids.
+    ODD = "[\\x1c-\\x1f]|<\\|(startoftext|endoftext)\\|>"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        def merges(*steps) -> Tokenizer:
+            t = Tokenizer.from_file(path)
+            t.normalizer, t.pre_tokenizer = None, pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), *steps])
+            return t
+
         self.tokenizer = Tokenizer.from_file(path)
-        self.merges = Tokenizer.from_file(path)
-        self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.ascii_merges = merges()
+        self.latin_merges = merges(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -62,8 +69,8 @@ class WordCache:
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, new: list[str]) -> None:
-        """Any other words: offsets tell which word a token comes from."""
+    def learn_words(self, new: list[str]) -> None:
+        """Any words: offsets tell which word a token comes from."""
         for k in range(0, len(new), self.CALL):
             some = new[k : k + self.CALL]
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -74,34 +81,65 @@ class WordCache:
             for w, a, b in zip(some, cuts, cuts[1:], strict=False):
                 self.words[w] = raw[a:b]
 
-    def learn_parts(self, new: list[str]) -> None:
-        """Pre-tokens of lower-case ASCII: the last token of each is one that ends a word."""
+    def learn_parts(self, new: list[str], merges) -> None:
+        """Lower-case pre-tokens: the last token of each is one that ends a word."""
         for k in range(0, len(new), self.CALL):
             some = new[k : k + self.CALL]
-            ids = np.array(self.merges.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(merges.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
             cuts = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
             raw = ids.tobytes()
             for w, a, b in zip(some, [0, *cuts], cuts, strict=False):
                 self.parts[w] = raw[a:b]
 
-    def batch(self, texts: list[str | None]) -> Iterator[bytes]:
+    def learn(self, new: list[str]) -> None:
+        """Plain words are split in one go, a line each; their ids are those of their parts, joined."""
+        words = pa.array(new, pa.string())
+        plain = pc.match_substring_regex(words, self.PLAIN)
+        self.learn_words(words.filter(pc.invert(plain)).to_pylist())
+        simple = words.filter(plain).to_pylist()
+        flat = self.PARTS.findall("\n".join([*simple, ""]).lower())
+        self.parts["\n"] = b""
+        unseen = set(flat) - self.parts.keys()
+        self.learn_parts([p for p in unseen if p.isascii()], self.ascii_merges)
+        self.learn_parts([p for p in unseen if not p.isascii()], self.latin_merges)
+        ids = list(map(self.parts.__getitem__, flat))
+        ends = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+        cuts = ends[np.fromiter(map("\n".__eq__, flat), dtype=bool, count=len(flat))].tolist()
+        raw = b"".join(ids)
+        self.words.update(zip(simple, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each begins and ends. Distinct words are looked up once."""
         if len(self.words) > self.LIMIT:
             self.words.clear()
         if len(self.parts) > self.LIMIT:
             self.parts.clear()
-        split = [None if t is None or self.ODD.search(t) else t.split() for t in texts]
-        unseen = set().union(*(s for s in split if s)) - self.words.keys()
-        ascii_words = {w: self.PARTS.findall(w.lower()) for w in unseen if w.isascii() and w.isprintable()}
-        self.learn_parts(list(set().union(*ascii_words.values()) - self.parts.keys()))
-        self.learn([w for w in unseen if w not in ascii_words])
-        for w, parts in ascii_words.items():
-            self.words[w] = b"".join([self.parts[p] for p in parts])
-        get = self.words.__getitem__
-        for t, s in zip(texts, split, strict=True):
-            yield b"" if not t else self.direct(t) if s is None else b"".join(map(get, s))
-        for w in unseen:
-            if len(w) > self.LONG:
-                del self.words[w]
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.ODD)
+        split = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        found = list(map(self.words.get, distinct))
+        new = [w for w, x in zip(distinct, found, strict=True) if x is None]
+        if new:
+            self.learn(new)
+            found = list(map(self.words.__getitem__, distinct))
+            for w in new:
+                if len(w) > self.LONG:
+                    del self.words[w]
+        at = words.indices.to_numpy(zero_copy_only=False)
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        vocabulary = np.frombuffer(b"".join(found), dtype="<u4")
+        ids = vocabulary[np.repeat(starts[at] - ends[:-1], each) + np.arange(ends[-1])]
+        cuts = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])]
+        if pc.any(odd).as_py():
+            out = [self.direct(t) if o else ids[a:b].tobytes() for t, o, a, b in zip(texts.to_pylist(), odd.to_pylist(), cuts, cuts[1:], strict=False)]
+            cuts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])])
+            ids = np.frombuffer(b"".join(out), dtype="<u4")
+        return ids, cuts
 
 
 def _pieces(tokenizer: str, sequence: int, end_id: int):
@@ -110,14 +148,14 @@ def _pieces(tokenizer: str, sequence: int, end_id: int):
         _encoders[tokenizer] = encoder
         end = np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in bounded(whole):
+                ids, cuts = encoder.batch(batch.column(1))
                 out: list[tuple] = []
-                for doc, ids in zip(batch.column(0).to_pylist(), encoder.batch(batch.column(1).to_pylist()), strict=True):
-                    ids += end
-                    for k, a in enumerate(range(0, len(ids), 4 * sequence)):
-                        part = ids[a : a + 4 * sequence]
-                        out.append((doc, k, a // 4, len(part) // 4, zlib.crc32(part)))
+                for doc, a, b in zip(batch.column(0).to_pylist(), cuts.tolist(), cuts[1:].tolist(), strict=False):
+                    raw = ids[a:b].tobytes() + end
+                    for k, c in enumerate(range(0, len(raw), 4 * sequence)):
+                        part = raw[c : c + 4 * sequence]
+                        out.append((doc, k, c // 4, len(part) // 4, zlib.crc32(part)))
                 doc, k, start, length, crc = zip(*out, strict=True) if out else [()] * 5
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc, pa.int64()), pa.array(k, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
@@ -127,6 +165,16 @@ def _pieces(tokenizer: str, sequence: int, end_id: int):
     return run
 
 
+def bounded(batch: pa.RecordBatch, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``size`` bytes of text, or of one row where that is longer."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + size, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def sum_of_squares(lengths: np.ndarray, sequence: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each length, taken in the given order.
 
