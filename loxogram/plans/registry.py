@@ -286,7 +286,7 @@ def _(s, d):
 
 @query("box_measures", f"""{REGIONS}, g AS (SELECT *, greatest(xlo - 60, -40 - xhi, 0) AS dx, greatest(ylo - 45, -30 - yhi, 0) AS dy, greatest(abs(xhi + 40), abs(60 - xlo)) AS fx, greatest(abs(yhi + 30), abs(45 - ylo)) AS fy FROM regions)
 SELECT id, round(sqrt(dx * dx + dy * dy), 6) AS near, round(sqrt(fx * fx + fy * fy), 6) AS far, round((xhi - xlo) * (yhi - ylo), 6) AS area, round(2 * (xhi - xlo) + 2 * (yhi - ylo), 6) AS margin,
- round(sqrt((xhi - xlo) * (xhi - xlo) + (yhi - ylo) * (yhi - ylo)), 6) AS diagonal, round(greatest(xhi - xlo, yhi - ylo), 6) AS side, round((xlo + xhi) / 2, 6) AS cx, round((ylo + yhi) / 2, 6) AS cy,
+ round(sqrt((xhi - xlo) * (xhi - xlo) + (yhi - ylo) * (yhi - ylo)), 6) AS diagonal, round(greatest(xhi - xlo, yhi - ylo), 6) AS side, round((xlo + xhi) / 2, 6) + 0 AS cx, round((ylo + yhi) / 2, 6) + 0 AS cy,
  round(greatest(least(xhi, 60) - greatest(xlo, -40), 0) * greatest(least(yhi, 45) - greatest(ylo, -30), 0), 6) AS common,
  round((greatest(xhi, 60) - least(xlo, -40)) * (greatest(yhi, 45) - least(ylo, -30)), 6) AS joint, round((xhi - xlo + 2) * (yhi - ylo + 2), 6) AS grown FROM g""")
 def _(s, d):
