@@ -13,8 +13,8 @@ each), which gives the suffix order at every place. Neighbours in that order wit
 ``length`` bytes form runs; in a run the least position is the only one without a previous factor that
 long, and a run of one has no factor at all. Equality is found by rolling hashes and proved on the bytes.
 
-A group above ``GROUP`` rows is not gathered: its windows are hashed (128 bits) and counted by an aggregation, which combines
-before the shuffle, and joined back.
+A group above ``GROUP`` rows (the count that finds recurring hashes tells) is not gathered: its windows are
+hashed (128 bits) and counted by an aggregation, which combines before the shuffle, and joined back.
 
 Defined cases: null is the empty text; texts under ``length`` bytes lose nothing; overlapping repeats count;
 repeated rows are further copies, under ``keep="first"`` rows equal in id and text are treated
@@ -120,15 +120,15 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
-def _contexts(length: int):
-    """The bytes that an owner's windows cover, one row for each owner."""
+def _contexts(length: int, hot: bool):
+    """The bytes that an owner's windows cover, one row for each owner of groups within the limit, or above it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 50):
                 batch = whole.slice(a, 50)
                 doc, th, data, spots = (c.to_pylist() for c in batch.columns)
-                rows = [(d, t, s["h"], s["p"], s["first"], s["last"], x[s["first"] : s["last"] + length]) for d, t, x, own in zip(doc, th, data, spots, strict=True) for s in own]
+                rows = [(d, t, s["h"], s["p"], s["first"], s["last"], x[s["first"] : s["last"] + length]) for d, t, x, own in zip(doc, th, data, spots, strict=True) for s in own if s["hot"] == hot]
                 columns = list(zip(*rows, strict=True)) or [()] * 7
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=["doc_id", "th", "h", "p", "first", "last", "data"])
@@ -188,15 +188,11 @@ def repeated_windows(data: list[bytes], before: np.ndarray, windows: np.ndarray,
     return marks.T
 
 
-def _verify(length: int, gram: int, keep_first: bool, chunk: int, limit: int):
-    """Rows come sorted by h. Yields (doc_id, th, a, b): bytes to remove; and for a group beyond the limit (null, h, -1, -1)."""
+def _verify(length: int, gram: int, keep_first: bool, chunk: int):
+    """Rows come sorted by h, whose groups are of bounded size. Yields (doc_id, th, a, b): bytes to remove."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        over = None
-
-        def rows_out(doc, th, a, b) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["doc_id", "th", "a", "b"])
 
         def solve(rows: list[tuple]) -> pa.RecordBatch:
             doc, th, h, p, first, last, data = zip(*rows, strict=True)
@@ -215,23 +211,15 @@ def _verify(length: int, gram: int, keep_first: bool, chunk: int, limit: int):
             row, a = np.nonzero(edge == 1)
             _, b = np.nonzero(edge == -1)
             shift = p[row] - (length - gram)
-            return rows_out([doc[i] for i in row], [th[i] for i in row], (a + shift).astype(np.int32), (b + shift + length - 1).astype(np.int32))
+            who = [pa.array([x[i] for i in row], pa.int64()) for x in (doc, th)]
+            return pa.RecordBatch.from_arrays([*who, pa.array((a + shift).astype(np.int32)), pa.array((b + shift + length - 1).astype(np.int32))], names=["doc_id", "th", "a", "b"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[2] == over:
-                    continue
-                if held and row[2] != held[-1][2]:
-                    if len(held) >= chunk:
-                        yield solve(held)
-                        held = []
+                if len(held) >= chunk and row[2] != held[-1][2]:
+                    yield solve(held)
+                    held = []
                 held.append(row)
-                if len(held) > limit and held[-1 - limit][2] == row[2]:
-                    cut = next(i for i, r in enumerate(held) if r[2] == row[2])
-                    if cut:
-                        yield solve(held[:cut])
-                    yield rows_out([None], [row[2]], [-1], [-1])
-                    over, held = row[2], []
         if held:
             yield solve(held)
 
@@ -250,27 +238,25 @@ def _window_hashes(length: int):
     return run
 
 
-def candidates(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, th, data, spots): documents with an owner whose hash recurs, and these owners."""
+def candidates(docs: DataFrame, length: int, gram: int, group: int = GROUP) -> DataFrame:
+    """(doc_id, th, data, spots): documents with an owner whose hash recurs, and these owners; hot ones have more than ``group`` fellows."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("data"))
     found = materialize(keyed.mapInArrow(_anchor_rows(length, gram), ANCHOR), "anchors")
-    often = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often")
-    spots = found.join(often, "h").groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "p", "first", "last")).alias("spots"))
+    often = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > group).alias("hot")), "often")
+    spots = found.join(often, "h").groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "p", "first", "last", "hot")).alias("spots"))
     spots = spots.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "spots")
     joined = keyed.join(spots, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")))
     return materialize(joined.select("doc_id", "th", "data", "spots"), "candidates")
 
 
-def repeats(found: DataFrame, length: int, gram: int, keep: str, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
+def repeats(found: DataFrame, length: int, gram: int, keep: str, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, th, spans): bytes [a, b) to remove from each candidate that has any; spans may overlap."""
     keep_first = {"first": True, "none": False}[keep]
-    contexts = found.mapInArrow(_contexts(length), f"{ANCHOR}, data binary")
-    dealt = contexts.repartition("h").sortWithinPartitions("h")
-    marked = materialize(dealt.mapInArrow(_verify(length, gram, keep_first, chunk, group), "doc_id long, th long, a int, b int"), "marked")
-    hot = marked.where("a < 0").select(F.col("th").alias("h"))
-    marked = marked.where("a >= 0")
-    if not hot.isEmpty():
-        windows = materialize(contexts.join(hot, "h", "left_semi").select(*contexts.columns).mapInArrow(_window_hashes(length), "doc_id long, th long, a int, w binary"), "windows")
+    contexts = lambda hot: found.mapInArrow(_contexts(length, hot), f"{ANCHOR}, data binary")
+    dealt = contexts(False).repartition("h").sortWithinPartitions("h")
+    marked = dealt.mapInArrow(_verify(length, gram, keep_first, chunk), "doc_id long, th long, a int, b int")
+    if not found.where(F.exists("spots", lambda s: s["hot"])).isEmpty():
+        windows = materialize(contexts(True).mapInArrow(_window_hashes(length), "doc_id long, th long, a int, w binary"), "windows")
         place = F.struct("doc_id", "th", "a")
         counted = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).where("n > 1").drop("n")
         again = windows.join(materialize(counted, "counted"), "w").where(F.lit(not keep_first) | (F.col("least") != place))
@@ -308,8 +294,8 @@ def _cut(data: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 def cut_documents(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "first", chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
     """(doc_id, th, n_removed, n_spans, kept, kept_sha256) of the documents that lose bytes; kept holds what remains."""
-    found = candidates(docs, length, gram)
-    spans = repeats(found, length, gram, keep, chunk, group).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "spans")
+    found = candidates(docs, length, gram, group)
+    spans = repeats(found, length, gram, keep, chunk).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "spans")
     once = found.select("doc_id", "th", "data").join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")))
     once = once.dropDuplicates(["doc_id", "th"])
     return once.select("doc_id", "th", F.pandas_udf(_cut, CUT)("data", "spans").alias("c")).select("doc_id", "th", "c.*")
