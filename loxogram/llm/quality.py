@@ -2,8 +2,8 @@
 
 Pairs of a labelled good and a labelled bad document say that the first is preferred. Scores are linear
 in features of the text, and the weights minimise the logistic loss on feature differences of the pairs
-(Newton's method with a ridge). The threshold is a quantile of the training scores, the one that
-accepts and rejects the labelled documents best; the output maps it to the score ``CUT``.
+(Newton's method with a ridge). The threshold is a quantile of the training scores, the one with
+the fewest errors on the labelled documents; the output maps it to the score ``CUT``.
 
 Fitting takes a bounded sample of labelled rows (``per_class`` of each label on average, drawn by a hash of the
 id) and a bounded number of pairs, so the driver holds a few thousand feature rows at any size of
@@ -72,7 +72,8 @@ def _expand(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
 class Ranker:
     """score() maps raw Bradley-Terry scores so that the chosen quantile lies at CUT."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE, seed: int = SEED):
+    def __init__(self, x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE, seed: int = SEED, sizes: dict[int, int] | None = None):
+        """``sizes``: how many labelled rows of each kind the sample stands for; by them errors weigh in the choice of the quantile."""
         good, bad = np.nonzero(y == 1)[0], np.nonzero(y == 0)[0]
         self.fitted = len(good) > 0 and len(bad) > 0
         if not self.fitted:
@@ -91,9 +92,9 @@ class Ranker:
             if np.abs(step).max() < 1e-8:
                 break
         self.w, raw = w, z @ w
-        order = np.argsort(raw, kind="stable")
-        gain = np.concatenate([[0.0], np.cumsum(np.where(y[order] == 0, 1.0 / len(bad), -1.0 / len(good)))])
-        k = int(np.flatnonzero(gain >= gain.max() - 1e-12).mean())
+        order, weight = np.argsort(raw, kind="stable"), sizes or {0: len(bad), 1: len(good)}
+        gain = np.concatenate([[0.0], np.cumsum(np.where(y[order] == 0, weight[0] / len(bad), -weight[1] / len(good)))])
+        k = int(np.flatnonzero(gain >= gain.max() - 1e-9 * sum(weight.values())).mean())
         ranked = raw[order]
         self.quantile = k / len(raw)  # rejected share of the training rows
         self.cut = (ranked[max(0, k - 1)] + ranked[min(len(raw) - 1, k)]) / 2
@@ -122,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: in
     if not rows:
         return Ranker(np.empty((0, 1)), np.empty(0))
     rows.sort(key=lambda r: (r["quality"], r["x"]))  # the fit does not depend on the order of tasks
-    return Ranker(np.array([r["x"] for r in rows]), np.array([r["quality"] for r in rows]), seed=seed)
+    return Ranker(np.array([r["x"] for r in rows]), np.array([r["quality"] for r in rows]), seed=seed, sizes=sizes)
 
 
 def score_column(text: Column, ranker: Ranker) -> Column:
