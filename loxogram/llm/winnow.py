@@ -157,9 +157,15 @@ def op8_winnow(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """``docs`` without the rows that share a window with an item."""
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), "doc_id", "text")
-    return contamination(rows, items, span, gram).where("n_hit = 0").select("_row.*")
+    """``docs`` without the rows that share a window with an item, all columns kept.
+
+    Only documents with a proposal are judged. The verdicts are written before they filter: a filter on them
+    would be pushed below the words and split the text anew for every word it compares.
+    """
+    proposed = docs.select(doc_key().alias("rid"), "text").join(matches(docs, items, span, gram), "rid").withColumn("_w", words(F.col("text")))
+    judged = materialize(proposed.select("rid", extended(span, gram).alias("spans")).select("rid", (F.size("spans") > 0).alias("hit")), "judged")
+    gone = judged.where("hit").select(F.col("rid").alias("_rid")).distinct()
+    return docs.withColumn("_rid", doc_key()).join(gone, "_rid", "left_anti").drop("_rid")
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
