@@ -52,6 +52,11 @@ def contains_point(a: Box, p: Point) -> Column:
     return p.x.between(a.xlo, a.xhi) & p.y.between(a.ylo, a.yhi)
 
 
+def point_contains(p: Point, q: Point) -> Column:
+    """A point has no inside: never."""
+    return F.lit(False)
+
+
 def touches(a: Box, b: Box, eps: float = EPSILON) -> Column:
     """Some axis has lower edges, or upper edges, that coincide; this is no topological touch."""
     return (F.abs(a.xlo - b.xlo) < eps) | (F.abs(a.xhi - b.xhi) < eps) | (F.abs(a.ylo - b.ylo) < eps) | (F.abs(a.yhi - b.yhi) < eps)

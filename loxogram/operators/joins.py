@@ -40,13 +40,17 @@ def parse_mode(name: str | None) -> str:
 
 @dataclass(frozen=True)
 class JoinQuery:
-    """How text counts: the similarity, the mode, its keywords (term, weight) and its window."""
+    """How text counts: the similarity, the mode, its keywords (term, weight) and its window.
+
+    ``policy`` (strict or combined_cost) is carried for configurations that name one; no join consults it.
+    """
 
     kind: str = "jaccard"
     mode: str = "full"
     keywords: tuple[tuple[str, float], ...] = ()
     window: tuple[float, float, float, float] | None = None
     alpha: float = 0.5
+    policy: str = "strict"
 
 
 def document_similarity(pairs: DataFrame, left: SpatioTextual, right: SpatioTextual, kind: str) -> DataFrame:
