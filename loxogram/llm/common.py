@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,14 +17,17 @@ LOCAL_SCRATCH = "/tmp/checkpoints/loxogram"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    A session that names none gets a local folder, but only where the driver is the only machine.
+    A session that names none gets a local folder, which goes when the process ends, but only where the
+    driver is the only machine.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return LOCAL_SCRATCH
+    own = f"{LOCAL_SCRATCH}/{os.getpid()}"
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
