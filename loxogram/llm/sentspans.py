@@ -9,9 +9,11 @@ The counts are aggregated before the shuffle, so a run that a third of the docum
 there; where rows meet the repeated hashes, adaptive execution splits what one key holds. Only repeated
 runs go on, and per document the removed places are gathered, which its own length bounds.
 
+A run under ``min_words`` words goes on by further sentences until it has them, since short ones ("Yes. No.
+Yes.") recur by chance; in scripts without spaces each character counts as a word.
+
 Defined cases: null and empty texts have no sentences and stay as they are; a document of fewer
-sentences than a span has no run; runs under ``min_words`` words are not compared, for short ones
-("Yes. No. Yes.") recur by chance; repeated rows are copies, of which the first keeps its sentences only if
+sentences than a span has no run; nor has one of fewer than ``min_words`` words; repeated rows are copies, of which the first keeps its sentences only if
 the copies differ in id or text: rows equal in both keep them all or lose them all alike.
 """
 
@@ -33,6 +35,9 @@ SPAN, MIN_WORDS = 3, 10
 #: A sentence ends at . ! ? (or their full-width forms) or a line break, and takes the white space that follows.
 PIECE = re.compile(r"[^.!?。！？\n]*(?:[.!?。！？\n]+\s*|\Z)")
 
+#: Characters of scripts that put no spaces between words: Thai to Burmese, Khmer, kana, Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
 
 def sentences(text: str | None) -> list[str]:
     """Pieces that add up to the text; those of white space or marks alone join the piece before."""
@@ -45,13 +50,20 @@ def sentences(text: str | None) -> list[str]:
     return out
 
 
-def run_hashes(text: str | None, span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[list[int], list[bytes]]:
-    """Places and 16-byte hashes of the runs that are long enough."""
+def n_words(words: list[str]) -> int:
+    """Words, where those with characters of unspaced scripts count as many as they have of these."""
+    return sum(1 if w.isascii() else max(1, len(UNSPACED.findall(w))) for w in words)
+
+
+def run_hashes(text: str | None, span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[list[int], list[int], list[bytes]]:
+    """Where each run starts and ends, and its 16-byte hash: ``span`` sentences, or as many more as reach ``min_words``."""
     words = [s.split() for s in sentences(text)]
     flat = [" ".join(w) for w in words]
-    count = np.cumsum([0, *map(len, words)])
-    at = np.flatnonzero(count[span:] - count[:-span] >= min_words).tolist() if len(flat) >= span else []
-    return at, [blake2b("\x1f".join(flat[i : i + span]).encode("utf-8", "replace"), digest_size=16).digest() for i in at]
+    count = np.cumsum([0, *map(n_words, words)])
+    start = np.arange(max(0, len(flat) - span + 1))
+    stop = np.maximum(start + span, np.searchsorted(count, count[start] + min_words))
+    start, stop = start[stop <= len(flat)].tolist(), stop[stop <= len(flat)].tolist()
+    return start, stop, [blake2b("\x1f".join(flat[i:j]).encode("utf-8", "replace"), digest_size=16).digest() for i, j in zip(start, stop, strict=True)]
 
 
 def _runs(span: int, min_words: int):
@@ -59,35 +71,36 @@ def _runs(span: int, min_words: int):
         for whole in batches:
             for a in range(0, whole.num_rows, 200):
                 batch = whole.slice(a, 200)
-                places, hashes, sizes = [], [], []
+                places, ends, hashes, sizes = [], [], [], []
                 for text in batch.column(2).to_pylist():
-                    at, h = run_hashes(text, span, min_words)
+                    at, to, h = run_hashes(text, span, min_words)
                     places += at
+                    ends += to
                     hashes += h
                     sizes.append(len(at))
                 who = pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int64())
                 both = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(who), batch.column(1).take(who), pa.array(places, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])],
-                    names=["doc_id", "th", "pos", "h1", "h2"],
+                    [batch.column(0).take(who), batch.column(1).take(who), pa.array(places, pa.int32()), pa.array(ends, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])],
+                    names=["doc_id", "th", "pos", "stop", "h1", "h2"],
                 )
 
     return run
 
 
 def repeated_runs(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, pos): the runs that are not the first of their group; th is the text's hash."""
+    """(doc_id, th, pos, stop): the runs that are not the first of their group; th is the text's hash."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    runs = keyed.mapInArrow(_runs(span, min_words), "doc_id long, th long, pos int, h1 long, h2 long")
+    runs = keyed.mapInArrow(_runs(span, min_words), "doc_id long, th long, pos int, stop int, h1 long, h2 long")
     often = materialize(runs.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"), "often")
     shared = materialize(runs.join(often, "h1"), "runs")
     place = F.struct("doc_id", "th", "pos")
     first = shared.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
     first = materialize(first, "first")  # written, so that a join with it can be split at a hot run
-    return shared.join(first, ["h1", "h2"]).where(F.col("first") != place).select("doc_id", "th", "pos")
+    return shared.join(first, ["h1", "h2"]).where(F.col("first") != place).select("doc_id", "th", "pos", "stop")
 
 
-def _cut(span: int):
+def _cut():
     def run(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
         kept, total, removed = [], [], []
         for text, at in zip(texts, places, strict=True):
@@ -95,7 +108,7 @@ def _cut(span: int):
             pieces = sentences(text)
             gone = np.zeros(len(pieces), dtype=bool)
             for i in at if at is not None else ():
-                gone[i : i + span] = True
+                gone[i >> 32 : i & 0xFFFFFFFF] = True
             total.append(len(pieces))
             removed.append(int(gone.sum()))
             kept.append("".join([p for p, g in zip(pieces, gone, strict=True) if not g]) if removed[-1] else text)
@@ -104,16 +117,17 @@ def _cut(span: int):
     return F.pandas_udf(run, "text string, n_sentences int, n_removed int")
 
 
-def cut_column(text: Column, places: Column, span: int = SPAN) -> Column:
-    return _cut(span)(text, places)
+def cut_column(text: Column, places: Column) -> Column:
+    """``places`` has a run's start times 2^32 plus its end."""
+    return _cut()(text, places)
 
 
 def drop_repeated_runs(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with text cut, and the columns n_sentences and n_removed (which replace columns of these names)."""
-    at = repeated_runs(docs, span, min_words).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("_at"))
+    at = repeated_runs(docs, span, min_words).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.shiftleft(F.col("pos").cast("long"), 32) + F.col("stop"))).alias("_at"))
     at = at.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "_at")
     joined = docs.join(at, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
-    cut = joined.withColumn("_cut", cut_column(F.col("text"), F.col("_at"), span))
+    cut = joined.withColumn("_cut", cut_column(F.col("text"), F.col("_at")))
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     return cut.select(*[F.col("_cut.text").alias("text") if c == "text" else F.col(c) for c in kept], "_cut.n_sentences", "_cut.n_removed")
 
