@@ -12,6 +12,11 @@ runs go on, and per document the removed places are gathered, which its own leng
 A run under ``min_words`` words goes on by further sentences until it has them, since short ones ("Yes. No.
 Yes.") recur by chance; in scripts without spaces each character counts as a word.
 
+What runs of sentences leave is searched for passages of ``WINDOW`` words that texts of different documents
+share, wherever they start: each window is named by its least hash of ``GRAM`` words, at the same place in
+equal windows; only windows whose gram several documents have are hashed themselves (128 bits). Of equal windows
+the first by (doc_id, text hash, place) stays, and the words that another document's window covers go.
+
 Defined cases: null and empty texts have no sentences and stay as they are; a document of fewer
 sentences than a span has no run; nor has one of fewer than ``min_words`` words; repeated rows are copies, of which the first keeps its sentences only if
 the copies differ in id or text: rows equal in both keep them all or lose them all alike.
@@ -32,12 +37,18 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 SPAN, MIN_WORDS = 3, 10
+#: Words of a passage that is found wherever it starts, and of the grams that name it.
+WINDOW, GRAM = 51, 8
 #: A sentence ends at . ! ? (or their full-width forms) or a line break, and takes the white space that follows.
 PIECE = re.compile(r"[^.!?。！？\n]*(?:[.!?。！？\n]+\s*|\Z)")
 
 #: Characters of scripts that put no spaces between words: Thai to Burmese, Khmer, kana, Han.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
+WORD = re.compile(f"{UNSPACED.pattern}|(?:(?!{UNSPACED.pattern})\\S)+")
+#: Odd factors of the rolling hashes.
+BASES = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+
 
 def sentences(text: str | None) -> list[str]:
     """Pieces that add up to the text; those of white space or marks alone join the piece before."""
@@ -66,6 +77,82 @@ def run_hashes(text: str | None, span: int = SPAN, min_words: int = MIN_WORDS) -
     return start, stop, [blake2b("\x1f".join(flat[i:j]).encode("utf-8", "replace"), digest_size=16).digest() for i, j in zip(start, stop, strict=True)]
 
 
+def window_words(text: str | None) -> list[tuple[int, int]]:
+    """Where each word starts and ends; a character of an unspaced script is a word of its own."""
+    return [m.span() for m in WORD.finditer(text or "")]
+
+
+def _rolling(h: np.ndarray, n: int, base: int) -> np.ndarray:
+    """A 64-bit hash of each ``n`` consecutive values, the same wherever they stand."""
+    out = np.zeros(len(h) - n + 1, dtype=np.uint64)
+    for k in range(n):
+        out = out * np.uint64(base) + h[k : k + len(out)]
+    out ^= out >> np.uint64(31)
+    return out * np.uint64(0x9E3779B97F4A7C15)
+
+
+def window_grams(text: str | None, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, gram hashes, and for each window the place of its least gram."""
+    import xxhash
+
+    h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in WORD.findall(text or "")], dtype=np.uint64)
+    if len(h) < window:
+        return h, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    grams = _rolling(h, gram, BASES[0])
+    wide = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1)
+    least = np.concatenate([wide[k : k + 4096].argmin(axis=1) for k in range(0, len(wide), 4096)])
+    return h, grams, least + np.arange(len(wide))
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        who, hashes = [], []
+        for k, text in enumerate(batch.column(2)):
+            _, grams, owner = window_grams(text.as_py())
+            found = np.unique(grams[np.unique(owner)])
+            hashes.append(found.view(np.int64))
+            who.append(np.full(len(found), k))
+        who = pa.array(np.concatenate(who) if who else np.zeros(0, dtype=np.int64))
+        values = pa.array(np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), values], names=["doc_id", "th", "g"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the windows whose gram is among the last column's."""
+    for whole in batches:
+        for a in range(0, whole.num_rows, 100):
+            batch = whole.slice(a, 100)
+            who, places, h1, h2 = ([np.zeros(0, dtype=np.int64)] for _ in range(4))
+            for k, (text, shared) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                h, grams, owner = window_grams(text.as_py())
+                at = np.flatnonzero(np.isin(grams[owner].view(np.int64), shared.values.to_numpy(zero_copy_only=False)))
+                if len(at):
+                    places.append(at)
+                    who.append(np.full(len(at), k))
+                    h1.append(_rolling(h, WINDOW, BASES[1])[at].view(np.int64))
+                    h2.append(_rolling(h, WINDOW, BASES[2])[at].view(np.int64))
+            who, places, h1, h2 = (np.concatenate(x) for x in (who, places, h1, h2))
+            who = pa.array(who)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(who), batch.column(1).take(who), pa.array(places, pa.int32()), pa.array(h1), pa.array(h2)],
+                names=["doc_id", "th", "pos", "h1", "h2"],
+            )
+
+
+def shared_windows(keyed: DataFrame) -> DataFrame:
+    """(doc_id, th, pos): windows of ``keyed`` (doc_id, th, text) whose first is in another document."""
+    anchors = materialize(keyed.mapInArrow(_anchors, "doc_id long, th long, g long"), "anchors")
+    who = F.struct("doc_id", "th")
+    often = anchors.groupBy("g").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo != hi").select("g")
+    of_doc = anchors.join(materialize(often, "often"), "g").groupBy("doc_id", "th").agg(F.collect_list("g").alias("gs"))
+    of_doc = of_doc.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "gs")
+    met = keyed.join(of_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "text", "gs")
+    windows = materialize(met.mapInArrow(_windows, "doc_id long, th long, pos int, h1 long, h2 long"), "windows")
+    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.max(who).alias("last")).where("first != last").drop("last")
+    first = materialize(first, "first")
+    return windows.join(first, ["h1", "h2"]).where(F.col("first") != who).select("doc_id", "th", "pos")
+
+
 def _runs(span: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -122,14 +209,43 @@ def cut_column(text: Column, places: Column) -> Column:
     return _cut()(text, places)
 
 
+def cut_words(text: str, places: list[int], window: int = WINDOW) -> tuple[str, int]:
+    """``text`` without the windows' words and the white space that follows them, and the sentences that lose words."""
+    words, gone = window_words(text), np.zeros(len(text) + 1, dtype=bool)
+    for i in places:
+        after = words[i + window][0] if i + window < len(words) else len(text)
+        gone[words[i][0] : after] = True
+    sizes = np.cumsum([0, *map(len, sentences(text))])
+    hit = sum(bool(gone[a:b].any()) for a, b in zip(sizes, sizes[1:], strict=False))
+    return "".join([c for c, g in zip(text, gone, strict=False) if not g]), hit
+
+
+def _cut_words():
+    def run(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+        out = [cut_words(t, at) if at is not None and len(at) else (t, 0) for t, at in zip(texts, places, strict=True)]
+        return pd.DataFrame({"text": pd.Series([t for t, _ in out], dtype=object), "n": [n for _, n in out]})
+
+    return F.pandas_udf(run, "text string, n int")
+
+
 def drop_repeated_runs(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with text cut, and the columns n_sentences and n_removed (which replace columns of these names)."""
+    """``docs`` with text cut, and the columns n_sentences and n_removed (which replace columns of these names).
+
+    n_removed counts the sentences that went or lost words.
+    """
     at = repeated_runs(docs, span, min_words).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.shiftleft(F.col("pos").cast("long"), 32) + F.col("stop"))).alias("_at"))
     at = at.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "_at")
     joined = docs.join(at, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
     cut = joined.withColumn("_cut", cut_column(F.col("text"), F.col("_at")))
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    return cut.select(*[F.col("_cut.text").alias("text") if c == "text" else F.col(c) for c in kept], "_cut.n_sentences", "_cut.n_removed")
+    cut = cut.select(*[F.col("_cut.text").alias("text") if c == "text" else F.col(c) for c in kept], "_cut.n_sentences", "_cut.n_removed")
+    cut = materialize(cut, "cut")
+    left = cut.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").where("text is not null")
+    at = shared_windows(left).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("_at"))
+    at = at.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "_at")
+    joined = cut.join(at, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
+    joined = joined.withColumn("_cut", _cut_words()(F.col("text"), F.col("_at")))
+    return joined.select(*[F.col("_cut.text").alias("text") if c == "text" else F.col(c) for c in kept], "n_sentences", (F.col("n_removed") + F.col("_cut.n")).alias("n_removed"))
 
 
 def op3_spans(spark, sf_dir: str) -> DataFrame:

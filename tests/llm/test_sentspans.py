@@ -22,3 +22,31 @@ def test_short_sentences_are_compared(spark, kind):
     found = cut(spark, [copy, copy, "Yes. No. Yes.", "Yes. No. Yes."])
     assert found[0] == (copy, 0) and found[1] == ("", len(sentspans.sentences(copy)))
     assert found[2] == found[3] == ("Yes. No. Yes.", 0)
+
+
+def test_passages_inside_sentences(spark):
+    rng = random.Random(6)
+    some = lambda n: " ".join(f"w{rng.randrange(99999)}" for _ in range(n))
+    passage, short, two = some(53), some(50), some(30) + ". " + some(30) + "."
+    before, after = some(9), some(7)
+    texts = [some(20) + " " + passage + " " + some(5), f"{before} {passage} {after}. Then more.", some(4) + " " + short, some(3) + " " + short, two, two, "ha " * 300]
+    found = cut(spark, texts)
+    assert found[0] == (texts[0], 0) and found[1] == (f"{before} {after}. Then more.", 1)
+    assert [found[i] for i in (2, 3, 4, 6)] == [(texts[i], 0) for i in (2, 3, 4, 6)]
+    assert found[5] == ("", 2)
+
+
+def test_windows_against_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(500)]
+    pool = [rng.choices(vocabulary, k=rng.randrange(45, 90)) for _ in range(6)]
+    texts = [[w for _ in range(5) for w in (rng.choice(pool) if rng.random() < 0.4 else rng.choices(vocabulary, k=30))] for _ in range(25)]
+    seen, gone = {}, [set() for _ in texts]
+    for k, words in enumerate(texts):
+        for i in range(len(words) - 50):
+            if seen.setdefault(tuple(words[i : i + 51]), k) != k:
+                gone[k] |= set(range(i, i + 51))
+    found = cut(spark, [" ".join(w) for w in texts])
+    for k, words in enumerate(texts):
+        assert found[k][0].split() == [w for i, w in enumerate(words) if i not in gone[k]]
+    assert sum(map(bool, gone)) >= 8
