@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loxogram.llm import exact, lpf, sentspans, simhash
+from loxogram.llm import exact, lpf, simhash
 
 # --- exact ---
 
@@ -118,44 +118,6 @@ def test_components_of_a_chain(spark):
     assert all(found[i] == 0 for i in range(1, 61)) and found[101] == 100
 
 
-# --- sentence spans ---
-
-
-def slow_spans(rows, span, min_words):
-    """Texts after removal, by the order of (id, text hash, place); the hash decides only among equal ids."""
-    runs = defaultdict(list)
-    for k, (_, t, _) in enumerate(rows):
-        s = [p.split() for p in sentspans.sentences(t)]
-        for i in range(len(s) - span + 1):
-            if sum(map(len, s[i : i + span])) >= min_words:
-                runs[tuple(map(tuple, s[i : i + span]))].append((k, i))
-    return runs
-
-
-def test_sentence_spans(docs, rows, empty):
-    assert all("".join(sentspans.sentences(t)) == (t or "") for _, t, _ in rows)
-    out = sentspans.drop_repeated_runs(docs)
-    assert set(out.columns) == {*docs.columns, "n_sentences"}
-    found = defaultdict(list)
-    for r in out.collect():
-        found[r["doc_id"]].append(r)
-    runs = slow_spans(rows, 3, 10)
-    gone = defaultdict(set)
-    for places in runs.values():
-        if len(places) > 1:
-            keys = [(rows[k][0] is not None, rows[k][0] or 0, i) for k, i in places]
-            first = min(keys)
-            for (k, i), key in zip(places, keys, strict=True):
-                if key != first:
-                    gone[k] |= set(range(i, i + 3))
-    for k, (i, t, _) in enumerate(rows):
-        pieces = sentspans.sentences(t)
-        want = "".join(p for j, p in enumerate(pieces) if j not in gone[k]) if gone[k] else t
-        assert any(r["text"] == want and r["n_removed"] == len(gone[k]) and r["n_sentences"] == len(pieces) for r in found[i]), (i, t and t[:60])
-    assert sum(bool(g) for g in gone.values()) >= 4
-    assert sentspans.drop_repeated_runs(empty).count() == 0
-
-
 # --- suffix order ---
 
 
