@@ -133,46 +133,92 @@ def slow_marks(texts, length, keep_first=False):
     return marks
 
 
-@pytest.mark.parametrize("group", [60_000, 3])
+def slow_shared(texts, length):
+    """Bytes of strings of that length that another text has."""
+    seen = defaultdict(set)
+    for k, t in enumerate(texts):
+        for i in range(len(t) - length + 1):
+            seen[t[i : i + length]].add(k)
+    marks = [bytearray(len(t)) for t in texts]
+    for k, t in enumerate(texts):
+        for i in range(len(t) - length + 1):
+            if len(seen[t[i : i + length]]) > 1:
+                marks[k][i : i + length] = b"\1" * length
+    return marks
+
+
+@pytest.mark.parametrize("group", [60_000, 1])
 def test_repeats_against_brute_force(docs, rows, empty, group):
-    found = {(r["doc_id"], r["kept"]): r for r in lpf.cut_documents(docs, 40, 8, keep="none", chunk=50, group=group).collect()}
+    distinct = list(dict.fromkeys((i, t) for i, t, _ in rows))  # rows equal in id and text are one document of many copies
+    found = {(r["doc_id"], r["kept"]): r for r in lpf.cut_documents(docs, 40, step=1, gram=8, keep="none", chunk=50, group=group).collect()}
     marks = slow_marks([(t or "").encode() for _, t, _ in rows], 40)
+    shared = dict(zip(distinct, slow_shared([(t or "").encode() for _, t in distinct], 40), strict=True))
     want = set()
     for (i, t, _), m in zip(rows, marks, strict=True):
-        if any(m):
+        if any(m) or any(shared[i, t]):
             kept = bytes(b for b, x in zip((t or "").encode(), m, strict=True) if not x)
             want.add((i, kept))
             assert (i, kept) in found, (i, t[:50])
             r = found[i, kept]
             assert r["n_removed"] == sum(m) and r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
-            assert r["n_spans"] == len(re.findall(b"\1+", bytes(m)))
+            assert r["n_spans"] == len(re.findall(b"\1+", bytes(m))) and r["n_shared"] == sum(shared[i, t])
     assert set(found) == want and len(want) >= 10
-    if group == 3:
-        assert lpf.cut_documents(empty, 40, 8).count() == 0
+    if group == 1:
+        assert lpf.cut_documents(empty, 40, gram=8).count() == 0
 
 
-@pytest.mark.parametrize("group", [60_000, 3])
-def test_keeping_the_first(spark, group):
+@pytest.mark.parametrize(("floor", "group"), [(50, 60_000), (30, 1)])
+def test_keeping_the_first(spark, floor, group):
     rng = random.Random(2)
     words = [rng.randbytes(3).hex() for _ in range(60)]
     passage = " ".join(rng.choices(words, k=30))
     texts = [" ".join(rng.choices(words, k=20)) + (passage if i % 2 else "") + " ".join(rng.choices(words, k=9)) for i in range(9)] + ["ab" * 100]
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    kept = {r["doc_id"]: r["text"] for r in lpf.drop_repeats(frame, length=50, gram=16, keep="first", group=group).collect()}
+    texts += [texts[4], texts[4], texts[0][:49], texts[3][20:90]]
+    frame = spark.createDataFrame([(i, t, "x", 7) for i, t in enumerate(texts)], "doc_id long, text string, spots string, `a.b` int")
+    found = lpf.drop_repeats(frame, length=50, floor=floor, gram=16, keep="first", group=group)
+    assert found.columns == frame.columns
+    kept = {r["doc_id"]: r["text"] for r in found.collect()}
     marks = slow_marks([t.encode() for t in texts], 50, keep_first=True)
     assert kept == {i: "".join(c for c, m in zip(t, marks[i], strict=True) if not m) for i, t in enumerate(texts)}
-    assert passage in kept[1] and passage not in kept[3]
+    assert passage in kept[1] and passage not in kept[3] and kept[10] == kept[11] == ""
+
+
+@pytest.mark.parametrize("group", [60_000, 1])
+def test_shorter_passages_are_counted(spark, group):
+    """Passages under the length stay and are counted, with no more bytes than other texts have; most of them are found."""
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passages = [some(rng.randrange(84, 98)) for _ in range(30)]
+    texts = [some(150) + passages[i % 30] + some(130) if i < 150 else some(300) for i in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in lpf.cut_documents(frame, 100, floor=64, step=4, gram=8, keep="none", group=group).collect()}
+    shared = slow_shared([t.encode() for t in texts], 64)
+    assert set(found) <= set(range(150)) and all(r["n_removed"] == 0 and 0 < r["n_shared"] <= sum(shared[i]) for i, r in found.items())
+    assert len(found) >= 140
+
+
+def test_previous_factors():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 12))
+        linked, rank = rng.random(n - 1) < 0.6, rng.integers(0, 6, n)
+        run = np.concatenate([[0], np.cumsum(~linked)])
+        want = [any(run[j] == run[i] and rank[j] < rank[i] for j in range(n)) for i in range(n)]
+        assert lpf.previous_factors(linked, rank).tolist() == want
 
 
 def test_long_texts_are_read_in_pieces(monkeypatch):
     monkeypatch.setattr(lpf, "PIECE", 1000)
     data = random.Random(1).randbytes(7000)
-    _, h, p, first, last = lpf.anchors([b"", data, data[:50]], 100, 16)
-    assert first[0] == 0 and last[-1] == 6900 and (first[1:] == last[:-1] + 1).all()
+    who, h, one, two, p, first, last = lpf.anchors([b"", data, data[:50]], 100, 16)
+    assert set(who) == {1} and first[0] == 0 and last[-1] == 6900 and (first[1:] == last[:-1] + 1).all() and len(h) == len(p)
     whole, _ = lpf.owners(np.frombuffer(data, dtype=np.uint8), 100, 16)
-    assert (np.repeat(p, last - first + 1) == whole).all() and len(h) == len(p)
+    assert (np.repeat(p, last - first + 1) == whole).all()
+    part = data[first[2] : last[2] + 100]
+    twice = lpf.anchors([part, b"x" + part], 100, 16)
+    assert len({*one, *two}) == 2 * len(one) and one[2] in twice[2] and two[2] in twice[3]
 
 
 def test_invalid_choice(docs):
     with pytest.raises(KeyError):
-        lpf.repeats(docs.select("doc_id", F.lit(0).alias("th")), 40, 8, "all")
+        lpf.repeats(docs.select("doc_id", F.lit(0).alias("th")), 40, 40, 4, 8, "all")
