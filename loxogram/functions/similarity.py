@@ -1,4 +1,4 @@
-"""Similarity of weighted term vectors, as maps from term to weight held in columns."""
+"""Similarity of weighted term vectors that are held as rows (id, term, w)."""
 
 from __future__ import annotations
 
@@ -8,30 +8,42 @@ from pyspark.sql import functions as F
 KINDS = ("sum", "jaccard", "cosine")
 
 
-def _fold(entries: Column, step) -> Column:
-    """Adds step(entry) up; entries are in the order of terms, so the result does not depend on the plan."""
-    return F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + step(e))
+def _known(kind: str) -> str:
+    if kind not in KINDS:
+        raise ValueError(f"similarity must be one of {KINDS}, not {kind!r}")
+    return kind
+
+
+def joint_weight(kind: str, w: Column) -> Column:
+    """Aggregate of a vector's weights that its similarities are measured by: the squares for cosine, else the sum."""
+    return F.sum(w * w) if _known(kind) == "cosine" else F.sum(w)
+
+
+def _shape(kind: str, shared: Column, t1: Column, t2: Column) -> Column:
+    if kind == "sum":
+        return shared
+    whole = F.sqrt(t1) * F.sqrt(t2) if kind == "cosine" else t1 + t2 - shared
+    return F.when(whole > 0, shared / whole).otherwise(0.0)
 
 
-def vector_similarity(kind: str, a: Column, b: Column) -> Column:
-    """Of two arrays of struct(term, w) sorted by term. An empty vector has similarity 0.
+def pair_similarity(kind: str, w1: Column, w2: Column, t1: Column, t2: Column) -> Column:
+    """Aggregate over a pair's shared terms; t1 and t2 are the ``joint_weight`` of its vectors.
 
     sum: shared weight, the smaller of the two for each term (not bounded by 1);
     jaccard: shared weight over the weight of the union; cosine: the usual one.
     """
-    other = F.map_from_entries(b)
-    in_b = lambda e: F.coalesce(F.try_element_at(other, e["term"]), F.lit(0.0))
-    total = lambda v: _fold(v, lambda e: e["w"])
-    if kind == "cosine":
-        norm = F.sqrt(_fold(a, lambda e: e["w"] * e["w"])) * F.sqrt(_fold(b, lambda e: e["w"] * e["w"]))
-        return F.when(norm > 0, _fold(a, lambda e: e["w"] * in_b(e)) / norm).otherwise(0.0)
-    shared = _fold(a, lambda e: F.least(e["w"], in_b(e)))
-    if kind == "sum":
-        return shared
-    if kind != "jaccard":
-        raise ValueError(f"similarity must be one of {KINDS}, not {kind!r}")
-    union = total(a) + total(b) - shared
-    return F.when(union > 0, shared / union).otherwise(0.0)
+    return _shape(_known(kind), F.sum(w1 * w2 if kind == "cosine" else F.least(w1, w2)), t1, t2)
+
+
+def similarity_bound(kind: str, rest1: Column, rest2: Column, t1: Column, t2: Column) -> Column:
+    """No pair is more similar whose shared terms lie in parts of these joint weights."""
+    shared = F.sqrt(rest1) * F.sqrt(rest2) if _known(kind) == "cosine" else F.least(rest1, rest2)
+    return _shape(kind, shared, t1, t2)
+
+
+def weight_bound(kind: str, floor: Column, total: Column) -> Column:
+    """The joint weight that a vector's shared terms must have for a similarity of ``floor``."""
+    return {"sum": floor, "jaccard": floor * total, "cosine": floor * floor * total}[_known(kind)]
 
 
 def keyword_score(kind: str, w: Column, qw: Column, term_max: Column, all_qw: float, all_qw_squared: float) -> Column:

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .frame import SpatioTextual
+from .frame import SpatioTextual, postings
 
 
 def match_counts(data: SpatioTextual, queries: DataFrame) -> DataFrame:
     """(qid, id, matched): distinct query keywords that an object has, where there are any."""
     keywords = queries.select("qid", "term").distinct()
-    return data.weights.select("id", "term").join(keywords, "term").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("matched"))
+    return postings(data.weights, queries).select("id", "term").join(keywords, "term").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("matched"))
 
 
 def matching(data: SpatioTextual, queries: DataFrame) -> DataFrame:

@@ -4,22 +4,25 @@ A pair's text similarity is that of its full vectors (modes ``full`` and ``spati
 both objects' scores against the query's keywords (``textual`` and ``all``); ``spatial`` and ``all`` also
 hold both objects to a window. In a self-join a pair is (smaller id, larger id).
 
-Threshold joins find the pairs within the distance by a grid and then compare vectors. Top-k joins first
-find any k pairs within a small reach; the cost of the k-th bounds the distance and the similarity of all
-better ones, and a second pass within these bounds gives the answer. Without such a bound the pairs come
-from an equi-join on shared terms, which is complete because the similarity must be positive.
+Candidates come from a grid (points within the reach) or, where so few pairs are similar enough that the text
+is the sharper filter, from the terms: with terms in the order of their rarity, two vectors of a similarity
+of at least the floor share a term among the first of both, before what is left of either is too little
+to reach it. Both similarities are then computed by an equi-join of the candidates with the weights.
+
+Top-k joins look at pairs within a small reach first, about as many as there are objects; the cost of the k-th
+bounds the distance and the similarity of all better ones, which the grid or the terms then find.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.costs import combined_cost, distance_ceiling, relevance_floor
-from ..functions.similarity import keyword_score, sane, vector_similarity
+from ..functions.similarity import joint_weight, keyword_score, pair_similarity, sane, similarity_bound, weight_bound
 from .boolean import top_k
 from .frame import SpatioTextual
 from .spatial import nested_point_pairs, point_pairs
@@ -53,11 +56,23 @@ class JoinQuery:
     policy: str = "strict"
 
 
+#: Pairs for each object that a grid may be expected to compare; beyond, terms find the candidates.
+GRID_PAIRS = 32
+
+
+def _measured(data: SpatioTextual, kind: str) -> DataFrame:
+    """The weights with _total, what the similarity needs to know of the whole vector."""
+    totals = data.weights.groupBy("id").agg(joint_weight(kind, F.col("w")).alias("_total"))
+    return data.weights.select("id", "term", "w").join(totals, "id")
+
+
 def document_similarity(pairs: DataFrame, left: SpatioTextual, right: SpatioTextual, kind: str) -> DataFrame:
-    """``pairs`` with sim, the similarity of the full vectors."""
-    a = left.vectors().select(F.col("id").alias("id1"), F.col("vec").alias("_a"))
-    b = right.vectors().select(F.col("id").alias("id2"), F.col("vec").alias("_b"))
-    return pairs.join(a, "id1").join(b, "id2").withColumn("sim", vector_similarity(kind, F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    """``pairs`` (id1, id2, dist) with sim, the similarity of the full vectors, where it is positive."""
+    a = _measured(left, kind).select(F.col("id").alias("id1"), "term", F.col("w").alias("_w1"), F.col("_total").alias("_t1"))
+    b = _measured(right, kind).select(F.col("id").alias("id2"), "term", F.col("w").alias("_w2"), F.col("_total").alias("_t2"))
+    met = pairs.join(a, "id1").join(b, ["id2", "term"])
+    sim = pair_similarity(kind, F.col("_w1"), F.col("_w2"), F.max("_t1"), F.max("_t2"))
+    return met.groupBy("id1", "id2", "dist").agg(sim.alias("sim")).where("sim > 0")
 
 
 def keyword_scores(data: SpatioTextual, query: JoinQuery) -> DataFrame:
@@ -113,31 +128,85 @@ def _none(left: SpatioTextual) -> DataFrame:
     return left.objects.sparkSession.createDataFrame([], "id1 long, id2 long, dist double, sim double, combined double")
 
 
-def threshold_join(left: SpatioTextual, right: SpatioTextual | None, query: JoinQuery, reach: float, floor: float, plan: str = "grid") -> DataFrame:
+def threshold_join(left: SpatioTextual, right: SpatioTextual | None, query: JoinQuery, reach: float, floor: float, plan: str = "auto") -> DataFrame:
     """(id1, id2, dist, sim, combined) of pairs with dist <= reach and sim >= floor and sim > 0.
 
     A floor of 0 or less leaves the text out: every pair within reach counts, with sim 1. A mode that needs a
-    window or keywords and has none gives no pairs. ``right=None`` joins the left with itself.
+    window or keywords and has none gives no pairs. ``right=None`` joins the left with itself. ``plan`` is grid, terms
+    (for full vectors and a positive floor), nested, or auto, which takes terms where a grid would compare too many.
     """
     if _refused(query):
         return _none(left)
     a = _side(left, query, floor)
     b = a if right is None else _side(right, query, floor)
-    find = {"grid": point_pairs, "nested": nested_point_pairs}[plan]
-    pairs = find(a.objects.select("id", "x", "y"), b.objects.select("id", "x", "y"), reach, right is None)
+    if plan == "auto":
+        plan = "grid"
+        if floor > 0 and query.mode in ("full", "spatial"):
+            (n, box), m = _extent(a.objects), b.objects.count()
+            plan = "grid" if _expected_pairs(n, m, max(reach, 0.0), box) <= GRID_PAIRS * (n + m) else "terms"
+    if plan == "terms":
+        pairs = _term_pairs(a, b, right is None, query, left.max_distance, floor, None, reach)
+    else:
+        find = {"grid": point_pairs, "nested": nested_point_pairs}[plan]
+        pairs = find(a.objects.select("id", "x", "y"), b.objects.select("id", "x", "y"), reach, right is None)
     if floor <= 0:
         return _finish(pairs.withColumn("sim", F.lit(1.0)), query, left.max_distance)
     pairs = _similar(pairs, a, b, query).where((F.col("sim") >= floor) & (F.col("sim") > 0))
     return _finish(pairs, query, left.max_distance)
 
 
-def _term_pairs(a: _Side, b: _Side, self_join: bool) -> DataFrame:
-    """All pairs that share a term, with their distance."""
-    one = a.objects.join(a.data.weights, "id").select(F.col("id").alias("id1"), F.col("x").alias("x1"), F.col("y").alias("y1"), "term")
-    two = b.objects.join(b.data.weights, "id").select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "term")
-    met = one.join(two, "term").where(F.col("id1") < F.col("id2") if self_join else F.lit(True))
+def _leading(side: _Side, kind: str, rarity: DataFrame, floor: Column | float | None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(id, x, y, *extra, term, total, rest): the terms among which a partner's first common one must be, rest being what the vector has from it on.
+
+    ``floor`` None leaves all terms in.
+    """
+    rows = side.objects.select("id", "x", "y", *extra).join(_measured(side.data, kind), "id").join(rarity, "term")
+    onwards = Window.partitionBy("id").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rows = rows.withColumn("rest", joint_weight(kind, F.col("w")).over(onwards)).withColumnRenamed("_total", "total")
+    if floor is not None:
+        rows = rows.where(F.col("rest") * (1 + 1e-9) >= weight_bound(kind, F.lit(floor) if isinstance(floor, float) else floor, F.col("total")))
+    return rows.select("id", "x", "y", *extra, "term", "total", "rest")
+
+
+def _term_pairs(a: _Side, b: _Side, self_join: bool, query: JoinQuery, max_distance: float, floor: float | None = None, ceiling: float | None = None, reach: float | None = None, limits: DataFrame | None = None) -> DataFrame:
+    """(id1, id2, dist): candidates that share a leading term, all that can have a similarity of ``floor`` and a cost of ``ceiling``.
+
+    ``limits(id, limit)`` gives left objects a ceiling of their own; the right side then keeps all its terms.
+    """
+    kind = query.kind
+    counted = b.objects.select("id").join(b.data.weights, "id") if not self_join else a.objects.select("id").join(a.data.weights, "id")
+    rarity = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if limits is not None:
+        bounded = _Side(a.data, a.objects.join(limits, "id", "left"))
+        least = F.coalesce(F.lit(0.0) if query.alpha >= 1 else F.greatest(1 - F.col("limit") / (1 - query.alpha), F.lit(0.0)), F.lit(0.0))
+        one = _leading(bounded, kind, rarity, least, ("limit",))
+    else:
+        one = _leading(a, kind, rarity, floor)
+    two = one if self_join else _leading(b, kind, rarity, floor if limits is None else None)
+    left = one.select("term", *[F.col(c).alias(f"{c}1") for c in ("id", "x", "y", "total", "rest")], *(["limit"] if limits is not None else []))
+    right = two.select("term", *[F.col(c).alias(f"{c}2") for c in ("id", "x", "y", "total", "rest")])
     dist = G.distance(G.Point(F.col("x1"), F.col("y1")), G.Point(F.col("x2"), F.col("y2")))
-    return met.drop("term").distinct().select("id1", "id2", dist.alias("dist"))
+    met = left.join(right, "term").where(F.col("id1") < F.col("id2") if self_join else F.lit(True)).withColumn("dist", dist)
+    if reach is not None:
+        met = met.where(F.col("dist") <= reach)
+    most = similarity_bound(kind, F.col("rest1"), F.col("rest2"), F.col("total1"), F.col("total2"))
+    least_cost = combined_cost(F.col("dist"), most, query.alpha, max_distance)
+    if limits is not None:
+        met = met.where(F.col("limit").isNull() | (least_cost <= F.col("limit") + 1e-9))
+    elif ceiling is not None:
+        met = met.where(least_cost <= ceiling + 1e-9)
+    return met.select("id1", "id2", "dist").distinct()
+
+
+def _expected_pairs(n: float, m: float, reach: float, box: tuple[float, float, float, float]) -> float:
+    """Pairs within reach if places were even over the box."""
+    width, height = max(box[2] - box[0], 1e-12), max(box[3] - box[1], 1e-12)
+    return n * m * min(1.0, 2 * reach / width) * min(1.0, 2 * reach / height)
+
+
+def _extent(objects: DataFrame) -> tuple[int, tuple[float, float, float, float]]:
+    row = objects.agg(F.count(F.lit(1)), F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    return row[0], tuple(float(v or 0.0) for v in row[1:])
 
 
 def _best_similarity(a: _Side, b: _Side, query: JoinQuery) -> float:
@@ -151,6 +220,13 @@ def _best_similarity(a: _Side, b: _Side, query: JoinQuery) -> float:
     return min(t or 0.0 for t in tops)
 
 
+def _best_pairs(pairs: DataFrame, query: JoinQuery, max_distance: float, k: int) -> DataFrame:
+    """The k first pairs by cost, with their rank: a bounded sort, then a window over k rows."""
+    order = [F.round("combined", 9), "id1", "id2"]
+    best = _finish(pairs.where("sim > 0"), query, max_distance).orderBy(*order).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("int"))
+
+
 def top_k_join(left: SpatioTextual, right: SpatioTextual | None, query: JoinQuery, k: int, plan: str = "bounded") -> DataFrame:
     """The k pairs of least combined cost among those with sim > 0, ties by ids, with their rank.
 
@@ -160,29 +236,51 @@ def top_k_join(left: SpatioTextual, right: SpatioTextual | None, query: JoinQuer
         return _none(left).withColumn("rank", F.lit(0))
     a = _side(left, query, 0)
     b = a if right is None else _side(right, query, 0)
-    self_join = right is None
-    pick = lambda pairs: top_k(_finish(pairs.where("sim > 0"), query, left.max_distance).withColumn("_all", F.lit(0)), ["_all"], [F.round("combined", 9), "id1", "id2"], k).drop("_all")
+    self_join, full = right is None, query.mode in ("full", "spatial")
+    scale = left.max_distance
+    pick = lambda pairs: _best_pairs(pairs, query, scale, k)
     places = lambda s: s.objects.select("id", "x", "y")
-    within = lambda reach: _similar(point_pairs(places(a), places(b), reach, self_join), a, b, query)
-    extent = left.max_distance
-    if plan == "bounded" and query.alpha > 0:
-        n = max(1, a.objects.count()) * max(1, b.objects.count()) / (2 if self_join else 1)
-        reach = min(extent, extent * (4.0 * k / n) ** 0.5)  # about k pairs lie this near if places were even
-        while reach < extent:
-            row = pick(within(reach)).agg(F.count(F.lit(1)), F.max("combined")).first()
-            if row[0] >= k:
-                ceiling = distance_ceiling(row[1] + 1e-9, query.alpha, left.max_distance, _best_similarity(a, b, query))
-                floor = relevance_floor(row[1] + 1e-9, query.alpha)
-                if ceiling < extent:
-                    return pick(within(ceiling * (1 + 1e-9) + 1e-9).where(F.col("sim") >= floor))
-                break
+    within = lambda x, y, reach: _similar(point_pairs(places(x), places(y), reach, self_join), x, y, query)
+    (n, box), m = _extent(a.objects), b.objects.count()
+    whole = ((box[2] - box[0]) ** 2 + (box[3] - box[1]) ** 2) ** 0.5
+    if right is not None:
+        _, other = _extent(b.objects)
+        whole = ((max(box[2], other[2]) - min(box[0], other[0])) ** 2 + (max(box[3], other[3]) - min(box[1], other[1])) ** 2) ** 0.5
+    if plan == "bounded":
+        reach = max(whole, 1e-9) * min(1.0, ((4 * k + 2.0 * (n + m)) / max(1.0, float(n) * m)) ** 0.5)
+        while reach < whole and _expected_pairs(n, m, reach, box) <= 4 * GRID_PAIRS * (k + n + m):
+            found, worst = pick(within(a, b, reach)).agg(F.count(F.lit(1)), F.max("combined")).first()
+            if found >= k:
+                worst += 1e-9
+                best = _best_similarity(a, b, query)
+                ceiling = distance_ceiling(worst, query.alpha, scale, best) * (1 + 1e-9) + 1e-9
+                floor = relevance_floor(worst, query.alpha)
+                if full and _expected_pairs(n, m, min(ceiling, whole), box) > GRID_PAIRS * (n + m):
+                    near = ceiling if ceiling < float("inf") else None
+                    return pick(_similar(_term_pairs(a, b, self_join, query, scale, floor or None, worst, near), a, b, query))
+                if not full:
+                    a = _Side(a.data, a.objects.where(F.col("score") >= floor))
+                    b = a if self_join else _Side(b.data, b.objects.where(F.col("score") >= floor))
+                return pick(within(a, b, min(ceiling, 2 * whole + 1)).where(F.col("sim") >= floor))
             reach *= 4
-    if query.mode in ("textual", "all"):
-        return pick(_similar(point_pairs(places(a), places(b), 2 * extent + 1, self_join), a, b, query))
-    return pick(_similar(_term_pairs(a, b, self_join), a, b, query))
+    if not full:
+        return pick(within(a, b, 2 * whole + 1))
+    return pick(_similar(_term_pairs(a, b, self_join, query, scale), a, b, query))
 
 
-def nearest_join(left: SpatioTextual, right: SpatioTextual, query: JoinQuery, k: int) -> DataFrame:
-    """For each left object its k partners of least combined cost, among those that share a term."""
-    pairs = _finish(_similar(_term_pairs(_side(left, query, 0), _side(right, query, 0), False), _side(left, query, 0), _side(right, query, 0), query).where("sim > 0"), query, left.max_distance)
-    return top_k(pairs, ["id1"], [F.round("combined", 9), "id2"], k)
+def nearest_join(left: SpatioTextual, right: SpatioTextual, query: JoinQuery, k: int, plan: str = "bounded") -> DataFrame:
+    """For each left object its k partners of least combined cost, among those that share a term.
+
+    What a small reach finds gives most left objects a ceiling, which then prunes the pairs that share a leading term.
+    """
+    a, b = _side(left, query, 0), _side(right, query, 0)
+    order = [F.round("combined", 9), "id2"]
+    pick = lambda pairs: top_k(_finish(_similar(pairs, a, b, query).where("sim > 0"), query, left.max_distance), ["id1"], order, k)
+    if plan == "all" or query.mode not in ("full", "spatial"):
+        return pick(_term_pairs(a, b, False, query, left.max_distance))
+    (n, box), m = _extent(a.objects), b.objects.count()
+    whole = max(((box[2] - box[0]) ** 2 + (box[3] - box[1]) ** 2) ** 0.5, 1e-9)
+    reach = whole * min(1.0, ((k + 8.0) / max(1, m)) ** 0.5)
+    near = pick(point_pairs(a.objects.select("id", "x", "y"), b.objects.select("id", "x", "y"), reach, False))
+    limits = near.where(F.col("rank") == k).select(F.col("id1").alias("id"), F.col("combined").alias("limit"))
+    return pick(_term_pairs(a, b, False, query, left.max_distance, limits=limits))

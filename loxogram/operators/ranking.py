@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.costs import combined_cost
 from .boolean import top_k
-from .frame import SpatioTextual
+from .frame import SpatioTextual, postings
 
 ALPHA = 0.5
 
@@ -20,7 +20,7 @@ def relevance(data: SpatioTextual, queries: DataFrame, mode: str = "fast", by_cl
         raise ValueError(f"mode must be fast or precise, not {mode!r}")
     gain = F.col("qw") if mode == "fast" else F.col("w") * F.col("qw")
     keys = ["qid", "id", "cluster"] if by_cluster else ["qid", "id"]
-    sums = data.weights.join(queries.select("qid", "term", "qw"), "term").groupBy(*keys).agg(F.sum(gain).alias("ir"))
+    sums = postings(data.weights, queries).join(queries.select("qid", "term", "qw"), "term").groupBy(*keys).agg(F.sum(gain).alias("ir"))
     return sums.groupBy("qid", "id").agg(F.max("ir").alias("ir")) if by_cluster else sums
 
 

@@ -118,11 +118,41 @@ def nested_point_pairs(left: DataFrame, right: DataFrame, reach: float, self_joi
     return a.join(b, (F.col("id1") < F.col("id2") if self_join else F.lit(True)) & (dist <= reach)).select("id1", "id2", dist.alias("dist"))
 
 
-def partition_quality(objects: DataFrame, columns: int, rows: int) -> DataFrame:
-    """Per tile of a sort-tile layout: objects, area and margin of the tile's bounding box."""
-    cut = objects.select(F.percentile_approx("x", [i / columns for i in range(1, columns)], 10_000).alias("q"))
-    sliced = objects.crossJoin(F.broadcast(cut)).withColumn("tile_x", F.size(F.filter("q", lambda v: v < F.col("x")))).drop("q")
-    cuts = sliced.groupBy("tile_x").agg(F.percentile_approx("y", [i / rows for i in range(1, rows)], 10_000).alias("q"))
-    tiled = sliced.join(F.broadcast(cuts), "tile_x").withColumn("tile_y", F.size(F.filter("q", lambda v: v < F.col("y"))))
-    boxes = tiled.groupBy("tile_x", "tile_y").agg(F.count(F.lit(1)).alias("n"), *G.bounding_box(G.point_box(G.point())))
-    return boxes.withColumns({"area": G.area(G.box()), "margin": G.margin(G.box())})
+def partition_quality(rows: DataFrame, columns: int, tiles: int, layout: str = "sort") -> DataFrame:
+    """Quality of a two-level layout of points or boxes, a row for each tile: entries, area and margin of its bounding box, the
+    area that it shares with the other tiles of its slice, and whether the slice's box fails to contain it.
+
+    ``sort`` cuts slices of about as many entries (and tiles within them), ``grid`` cuts the extent evenly; boxes go by their centres.
+    """
+    b = G.box() if "xlo" in rows.columns else G.point_box(G.point())
+    middle = G.center(b)
+    rows = rows.select(middle.x.alias("x"), middle.y.alias("y"), *[v.alias(c) for c, v in zip(("xlo", "ylo", "xhi", "yhi"), b, strict=True)])
+    if layout == "grid":
+        ends = rows.agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
+        at = lambda v, lo, hi, n: F.when(F.col(hi) > F.col(lo), F.least(F.floor((F.col(v) - F.col(lo)) / (F.col(hi) - F.col(lo)) * n), F.lit(n - 1))).otherwise(0).cast("int")
+        tiled = rows.crossJoin(F.broadcast(ends)).withColumns({"tile_x": at("x", "_x0", "_x1", columns), "tile_y": at("y", "_y0", "_y1", tiles)})
+    elif layout == "sort":
+        cut = rows.select(F.percentile_approx("x", [i / columns for i in range(1, columns)], 10_000).alias("q"))
+        sliced = rows.crossJoin(F.broadcast(cut)).withColumn("tile_x", F.size(F.filter("q", lambda v: v < F.col("x")))).drop("q")
+        cuts = sliced.groupBy("tile_x").agg(F.percentile_approx("y", [i / tiles for i in range(1, tiles)], 10_000).alias("q"))
+        tiled = sliced.join(F.broadcast(cuts), "tile_x").withColumn("tile_y", F.size(F.filter("q", lambda v: v < F.col("y"))))
+    else:
+        raise ValueError(f"layout must be sort or grid, not {layout!r}")
+    boxes = tiled.groupBy("tile_x", "tile_y").agg(F.count(F.lit(1)).alias("n"), *G.bounding_box(G.box()))
+    corners = ("xlo", "ylo", "xhi", "yhi")
+    # at most ``columns`` x ``tiles`` rows from here on
+    siblings = boxes.select("tile_x", F.col("tile_y").alias("_other"), *[F.col(c).alias(f"o_{c}") for c in corners])
+    common = G.intersection_area(G.box(), G.box("o_"))
+    overlap = boxes.join(siblings, "tile_x").where("tile_y != _other").groupBy("tile_x", "tile_y").agg(F.sum(common).alias("overlap"))
+    slices = boxes.groupBy("tile_x").agg(F.min("xlo").alias("p_xlo"), F.min("ylo").alias("p_ylo"), F.max("xhi").alias("p_xhi"), F.max("yhi").alias("p_yhi"))
+    out = boxes.join(overlap, ["tile_x", "tile_y"], "left").join(slices, "tile_x")
+    return out.select(
+        "tile_x", "tile_y", "n", *corners, G.area(G.box()).alias("area"), G.margin(G.box()).alias("margin"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"), (~G.contains(G.box("p_"), G.box())).alias("violation")
+    )
+
+
+def quality_summary(tiles: DataFrame) -> DataFrame:
+    """One row: tiles, entries, total area, total overlap (each pair once) and containment violations."""
+    return tiles.agg(
+        F.count(F.lit(1)).alias("tiles"), F.sum("n").alias("entries"), F.sum("area").alias("area"), (F.sum("overlap") / 2).alias("overlap"), F.sum(F.col("violation").cast("long")).alias("violations")
+    )

@@ -1,13 +1,16 @@
 """Term statistics and term weights of a collection.
 
 Input is ``terms(id, term)``, one row for each occurrence. Everything is an aggregation on (id, term), id or
-term; partial aggregation happens before each shuffle. Collection-wide scalars come from one-row
-aggregates that are cross-joined in, which broadcasts a single row.
+term. Weights deal the occurrences to partitions by id once, which serves the frequencies, the document's own
+figures and its largest weight. Collection-wide scalars come from one-row aggregates that are cross-joined
+in, which broadcasts a single row.
+
+``store`` writes weights in the order of terms, so that a query reads the row groups of its keywords alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SMOOTHING = 0.2
@@ -31,11 +34,12 @@ def max_frequency(terms: DataFrame) -> DataFrame:
 
 def _with_statistics(terms: DataFrame, documents: DataFrame | None) -> DataFrame:
     """(id, term, f, max_f, len, df, cf, n): ``documents(id)`` also counts documents without terms."""
-    tf = term_frequency(terms)
+    tf = term_frequency(terms.repartition("id"))
     by_term = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("f").alias("cf"))
     n = (documents if documents is not None else terms).agg(F.countDistinct("id").alias("n"))
     own = Window.partitionBy("id")
-    return tf.join(by_term, "term").withColumns({"max_f": F.max("f").over(own), "len": F.sum("f").over(own)}).crossJoin(F.broadcast(n))
+    own_figures = tf.withColumns({"max_f": F.max("f").over(own), "len": F.sum("f").over(own)})
+    return own_figures.join(by_term, "term").crossJoin(F.broadcast(n))
 
 
 def tfidf(terms: DataFrame, smoothing: float = 0.0, documents: DataFrame | None = None) -> DataFrame:
@@ -89,3 +93,12 @@ def signatures(terms: DataFrame, code) -> DataFrame:
     c = code(F.col("term"))
     bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(v, F.lit(64)).cast("int"))
     return terms.groupBy("id").agg(F.bit_or(bit(c).bitwiseOR(bit(c * 31 + 17))).alias("signature"))
+
+
+def store(weights: DataFrame, path: str) -> None:
+    """Parquet by ranges of terms, sorted within: its row groups' statistics find a term. A term's rows are spread by id if they fill a range."""
+    weights.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -7,6 +7,7 @@ over all pairs, and shares no plan with the DataFrame code. Doubles are rounded
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import costs
 from ..functions import geometry as G
 from ..operators import boolean, clustering, group, joins, ranking, spatial, weights
-from ..operators.frame import SpatioTextual, place_frame, query_frame
+from ..operators.frame import SpatioTextual, place_frame, query_frame, shared_folder
 from ..sources import config, objects, sampling, validation
 from . import generate, harness
 
@@ -62,12 +63,25 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 # --- the data, in Spark ---
 
 
-def parts(spark: SparkSession, d: str, smoothing: float = 0.0) -> SpatioTextual:
-    return objects.world(objects.part_objects(spark, d), weights.tfidf(objects.part_terms(spark, d), smoothing))
+_stored: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, d: str, name: str, terms: Callable[[], DataFrame], smoothing: float = 0.0) -> DataFrame:
+    """The weights of a collection, written in the order of terms when a session first asks for them: its queries share them like an index."""
+    key = (spark.sparkContext.applicationId, d, name, smoothing)
+    if key not in _stored:
+        path = f"{shared_folder(spark)}/weights-{name}-{uuid.uuid4().hex}"
+        weights.store(weights.tfidf(terms(), smoothing), path)
+        _stored[key] = path
+    return weights.load(spark, _stored[key])
+
+
+def parts(spark: SparkSession, d: str) -> SpatioTextual:
+    return objects.world(objects.part_objects(spark, d), stored(spark, d, "part", lambda: objects.part_terms(spark, d)))
 
 
 def documents(spark: SparkSession, d: str) -> SpatioTextual:
-    return objects.world(objects.document_objects(spark, d), weights.tfidf(objects.document_terms(spark, d)))
+    return objects.world(objects.document_objects(spark, d), stored(spark, d, "documents", lambda: objects.document_terms(spark, d)))
 
 
 def halves(spark: SparkSession, d: str) -> tuple[SpatioTextual, SpatioTextual]:
@@ -76,8 +90,8 @@ def halves(spark: SparkSession, d: str) -> tuple[SpatioTextual, SpatioTextual]:
 
 
 def clustered(data: SpatioTextual) -> SpatioTextual:
-    """Postings with a cluster number, by the object's id."""
-    return SpatioTextual(data.objects, data.weights.withColumn("cluster", (F.col("id") % 3).cast("int")), data.max_distance)
+    """Postings with a cluster number, by the object's id and the term's length, so that an object has postings in several."""
+    return SpatioTextual(data.objects, data.weights.withColumn("cluster", ((F.col("id") + F.length("term")) % 3).cast("int")), data.max_distance)
 
 
 def members(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -143,6 +157,40 @@ def _(s, d):
     return rounded(objects.document_objects(s, d))
 
 
+def written_lines(lines: DataFrame, name: str) -> str:
+    """One text file of the lines (order, value) in their order, in the shared folder."""
+    path = f"{shared_folder(lines.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    lines.orderBy("line").select("value").coalesce(1).write.text(path)
+    return path
+
+
+@query("csv_places", f"SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM ({place_sql('documents', 'doc_id')})")
+def _(s, d):
+    """Places written as lines and scanned again: repeated ids, short lines and bad numbers go."""
+    places = objects.document_objects(s, d)
+    good = places.select(F.col("id").alias("line"), F.concat_ws(",", "id", "x", "y").alias("value"))
+    again = places.where("id % 3 = 0").select((F.col("id") + 10_000_000).alias("line"), F.concat_ws(",", "id", F.lit("1.5"), F.lit("2.5"), F.lit("more")).alias("value"))
+    short = places.where("id % 5 = 0").select((-1 - F.col("id")).alias("line"), F.concat_ws(",", F.col("id") + 50_000_000, F.lit("7")).alias("value"))
+    bad = places.where("id % 7 = 0").select((-1 - F.col("id")).alias("line"), F.concat_ws(",", F.col("id") + 60_000_000, F.lit("x"), F.lit("3")).alias("value"))
+    return rounded(objects.read_places(s, written_lines(good.unionByName(again).unionByName(short).unionByName(bad), "places")))
+
+
+@query("csv_keywords", f"WITH terms AS ({DOC_TERMS}) SELECT id, term, count(*) AS n FROM terms GROUP BY id, term")
+def _(s, d):
+    """Term lines written and scanned again, with later lines of the same ids, which go."""
+    lists = objects.document_terms(s, d).groupBy("id").agg(F.concat_ws(",", F.collect_list("term")).alias("t"))
+    good = lists.select(F.col("id").alias("line"), F.concat_ws(",", "id", "t").alias("value"))
+    again = lists.where("id % 3 = 0").select((F.col("id") + 10_000_000).alias("line"), F.concat_ws(",", "id", F.lit("later")).alias("value"))
+    terms = objects.read_keywords(s, written_lines(good.unionByName(again), "keywords"))
+    return terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("validate_good", "SELECT count(*) AS place_lines, count(*) AS keyword_lines, 0::BIGINT AS repeated_places, 0::BIGINT AS repeated_keywords, 0::BIGINT AS only_places, 0::BIGINT AS only_keywords, true AS valid FROM part")
+def _(s, d):
+    ids = objects.part_objects(s, d).select("id")
+    return validation.validate(ids, ids)
+
+
 @query("first_wins", "SELECT k, arg_min(c, ts) AS c FROM (SELECT o_custkey AS k, o_orderkey AS c, o_orderkey AS ts FROM orders) GROUP BY k")
 def _(s, d):
     rows = objects.table(s, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("c"), F.col("o_orderkey").alias("ts"))
@@ -183,9 +231,17 @@ def _(s, d):
     return validation.repair(objects.table(s, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("line")), "line")
 
 
-@query("catalogue", f"SELECT * FROM (VALUES {values([(p.name, p.objects, p.vocabulary) for p in config.CATALOGUE.values()])}) v(name, objects, vocabulary)")
+#: What the catalogue must have (fixed values): name, extent, objects, vocabulary.
+CATALOGUE = [
+    ("PAPER", 0.0, 0.0, 27.0, 30.0, 7, 5), ("TESTING", -4.0, -5.0, 8.0, 5.0, 10, 7), ("ORIGINAL", -4.0, -5.0, 5.0, 5.0, 8, 6), ("HOTELS", -159.0, 19.0, -68.0, 70.0, 20000, 600),
+    ("POSTAL_CODES", -176.0, -55.0, 180.0, 74.0, 171000, 549405), ("SPORTS", -180.0, -90.0, 180.0, 79.0, 1750000, 452950), ("PARKS", -180.0, -90.0, 180.0, 81.0, 9960000, 1002722),
+]
+
+
+@query("catalogue", f"SELECT name, xlo, ylo, xhi, yhi, objects, vocabulary, round(sqrt((xhi - xlo) * (xhi - xlo) + (yhi - ylo) * (yhi - ylo)), 6) AS diagonal FROM (VALUES {values(CATALOGUE)}) v(name, xlo, ylo, xhi, yhi, objects, vocabulary)")
 def _(s, d):
-    return s.createDataFrame([(p.name, p.objects, p.vocabulary) for p in config.CATALOGUE.values()], "name string, objects int, vocabulary int")
+    rows = [(p.name, *p.box, p.objects, p.vocabulary, p.max_distance) for p in config.CATALOGUE.values()]
+    return rounded(s.createDataFrame(rows, "name string, xlo double, ylo double, xhi double, yhi double, objects int, vocabulary int, diagonal double"))
 
 
 # --- statistics and weights ---
@@ -243,6 +299,7 @@ def _(s, d):
     return rounded(validation.dense_regions(objects.part_objects(s, d)))
 
 
+CLUSTER = "((id + length(term)) % 3)::INT"
 CELL = "floor(x / 45)::BIGINT || ':' || floor(y / 45)::BIGINT"
 
 
@@ -252,7 +309,7 @@ def _(s, d):
     return rounded(weights.pseudo_documents(validation.grid_cells(p.objects, 45.0), p.weights))
 
 
-@query("pseudo_documents_clustered", f"WITH {PARTS} SELECT {CELL} AS cell, (id % 3)::INT AS cluster, term, round(max(w), 6) AS w FROM wt JOIN objects USING (id) GROUP BY 1, 2, 3")
+@query("pseudo_documents_clustered", f"WITH {PARTS} SELECT {CELL} AS cell, {CLUSTER} AS cluster, term, round(max(w), 6) AS w FROM wt JOIN objects USING (id) GROUP BY 1, 2, 3")
 def _(s, d):
     p = clustered(parts(s, d))
     return rounded(weights.pseudo_documents(validation.grid_cells(p.objects, 45.0), p.weights, "cluster"))
@@ -276,12 +333,19 @@ E_ = "1.192092896e-07"
 
 
 @query("box_predicates", f"""{REGIONS} SELECT id, (xlo <= 60 + {E_} AND xhi >= -40 - {E_} AND ylo <= 45 + {E_} AND yhi >= -30 - {E_}) AS meets, (xlo >= -40 - {E_} AND xhi <= 60 + {E_} AND ylo >= -30 - {E_} AND yhi <= 45 + {E_}) AS inside,
- (xlo BETWEEN -40 AND 60 AND ylo BETWEEN -30 AND 45) AS corner, (abs(xlo + 40) < {E_} OR abs(xhi - 60) < {E_} OR abs(ylo + 30) < {E_} OR abs(yhi - 45) < {E_}) AS touch, false AS same FROM regions""")
+ (xlo BETWEEN -40 AND 60 AND ylo BETWEEN -30 AND 45) AS corner, (abs(xlo + 40) < {E_} OR abs(xhi - 60) < {E_} OR abs(ylo + 30) < {E_} OR abs(yhi - 45) < {E_}) AS touch,
+ (id % 2 = 0 OR abs(xlo + 40) < {E_} OR abs(xhi - 60) < {E_} OR abs(ylo + 30) < {E_} OR abs(yhi - 45) < {E_}) AS touch_moved, (id % 3 <> 0) AS same, (id % 5 = 0) AS touch_point, (id % 5 <> 1) AS same_point, false AS in_point FROM regions""")
 def _(s, d):
     w, b = G.fixed_box(*AREA), G.box()
+    moved = G.Box(F.when(F.col("id") % 2 == 0, F.lit(AREA[0])).otherwise(b.xlo), b.ylo, b.xhi, b.yhi)
+    shift = F.when(F.col("id") % 3 == 0, F.lit(1e-3)).otherwise(F.lit(1e-9))  # one is above the tolerance, the other below
+    p = G.Point(b.xlo, b.ylo)
+    aside = G.Point(b.xlo + F.when(F.col("id") % 5 == 1, F.lit(1e-3)).otherwise(F.lit(1e-9)), b.ylo)
     return objects.part_regions(s, d).select(
-        "id", G.intersects(w, b).alias("meets"), G.contains(w, b).alias("inside"), G.contains_point(w, G.Point(b.xlo, b.ylo)).alias("corner"), G.touches(w, b).alias("touch"), G.same_box(w, b).alias("same")
-    )
+        "id", G.intersects(w, b).alias("meets"), G.contains(w, b).alias("inside"), G.contains_point(w, p).alias("corner"), G.touches(w, b).alias("touch"), G.touches(w, moved).alias("touch_moved"),
+        G.same_box(G.Box(b.xlo + shift, b.ylo, b.xhi, b.yhi - shift), b).alias("same"), G.touches_point(b, G.Point(b.xlo + F.when(F.col("id") % 5 == 0, 0.0).otherwise((b.xhi - b.xlo) / 2), (b.ylo + b.yhi) / 2)).alias("touch_point"),
+        G.same_point(p, aside).alias("same_point"), G.point_contains(p, aside).alias("in_point"),
+    )
 
 
 @query("box_measures", f"""{REGIONS}, g AS (SELECT *, greatest(xlo - 60, -40 - xhi, 0) AS dx, greatest(ylo - 45, -30 - yhi, 0) AS dy, greatest(abs(xhi + 40), abs(60 - xlo)) AS fx, greatest(abs(yhi + 30), abs(45 - ylo)) AS fy FROM regions)
@@ -300,12 +364,13 @@ def _(s, d):
     )
 
 
-@query("combined_cost", f"WITH {PARTS}, {queries_sql(SINGLE)} SELECT objects.id, qid, round({cost_sql(DIST.format('objects', 'places'), '2e-1', 0.3)}, 6) AS cost, round(greatest(0, least(1, 1 - 4e-1 / 7e-1)), 6) AS floor FROM objects, places")
+@query("combined_cost", f"WITH {PARTS}, {queries_sql(SINGLE)} SELECT objects.id, qid, round({cost_sql(DIST.format('objects', 'places'), '2e-1', 0.3)}, 6) AS cost, round(greatest(0, least(1, 1 - k.c / 7e-1)), 6) AS floor, k.c AS cost_limit FROM objects, places, (VALUES (4e-1), (9e-1), (-1e-1)) k(c)")
 def _(s, d):
     data, q = parts(s, d), place_frame(s, SINGLE).select("qid", F.col("x").alias("qx"), F.col("y").alias("qy"))
     dist = G.distance(G.point(), G.Point(F.col("qx"), F.col("qy")))
-    rows = data.objects.crossJoin(F.broadcast(q))
-    return rounded(rows.select("id", "qid", costs.combined_cost(dist, F.lit(0.2), 0.3, data.max_distance).alias("cost"), F.lit(costs.relevance_floor(0.4, 0.3)).alias("floor")))
+    floors = s.createDataFrame([(c, costs.relevance_floor(c, 0.3)) for c in (0.4, 0.9, -0.1)], "cost_limit double, floor double")
+    rows = data.objects.crossJoin(F.broadcast(q)).crossJoin(F.broadcast(floors))
+    return rounded(rows.select("id", "qid", costs.combined_cost(dist, F.lit(0.2), 0.3, data.max_distance).alias("cost"), "floor", "cost_limit"))
 
 
 @query("set_distance", f"WITH terms AS ({PART_TERMS}), l AS (SELECT id, list_distinct(list(term)) AS t FROM terms GROUP BY id), k AS (SELECT ['red', 'gear', 'promo'] AS k) SELECT id, round(1 - len(list_intersect(t, k))::DOUBLE / len(list_distinct(list_concat(t, k))), 6) AS dist FROM l, k")
@@ -369,7 +434,24 @@ def _(s, d):
     return rounded(spatial.delete(spatial.insert(r, moved), r.where("id % 10 = 3")).select("id", "xlo"))
 
 
-@query("partition_quality")
+TILES = f"""{REGIONS}, m AS (SELECT *, (xlo + xhi) / 2 AS mx, (ylo + yhi) / 2 AS my FROM regions), e AS (SELECT min(mx) AS x0, max(mx) AS x1, min(my) AS y0, max(my) AS y1 FROM m),
+t AS (SELECT least(floor((mx - x0) / (x1 - x0) * 4), 3)::INT AS tile_x, least(floor((my - y0) / (y1 - y0) * 5), 4)::INT AS tile_y, xlo, ylo, xhi, yhi FROM m, e),
+b AS (SELECT tile_x, tile_y, count(*) AS n, min(xlo) AS xlo, min(ylo) AS ylo, max(xhi) AS xhi, max(yhi) AS yhi FROM t GROUP BY 1, 2),
+o AS (SELECT b.tile_x, b.tile_y, sum(greatest(least(b.xhi, c.xhi) - greatest(b.xlo, c.xlo), 0) * greatest(least(b.yhi, c.yhi) - greatest(b.ylo, c.ylo), 0)) AS overlap FROM b JOIN b c ON b.tile_x = c.tile_x AND b.tile_y <> c.tile_y GROUP BY 1, 2)"""
+
+
+@query("partition_quality", f"""{TILES} SELECT tile_x, tile_y, n, round(xlo, 6) AS xlo, round(ylo, 6) AS ylo, round(xhi, 6) AS xhi, round(yhi, 6) AS yhi, round((xhi - xlo) * (yhi - ylo), 6) AS area, round(2 * (xhi - xlo) + 2 * (yhi - ylo), 6) AS margin,
+ round(coalesce(overlap, 0), 6) AS overlap, false AS violation FROM b LEFT JOIN o USING (tile_x, tile_y)""")
+def _(s, d):
+    return rounded(spatial.partition_quality(objects.part_regions(s, d), 4, 5, "grid"))
+
+
+@query("partition_quality_summary", f"{TILES} SELECT count(*) AS tiles, sum(n)::BIGINT AS entries, round(sum((xhi - xlo) * (yhi - ylo)), 4) AS area, round(sum(coalesce(overlap, 0)) / 2, 4) AS overlap, 0::BIGINT AS violations FROM b LEFT JOIN o USING (tile_x, tile_y)")
+def _(s, d):
+    return rounded(spatial.quality_summary(spatial.partition_quality(objects.part_regions(s, d), 4, 5, "grid")), 4)
+
+
+@query("partition_quality_sorted")
 def _(s, d):
     return rounded(spatial.partition_quality(objects.part_objects(s, d), 4, 4))
 
@@ -436,7 +518,7 @@ def _(s, d):
     return rounded(ranking.top_ranked_by_distance(parts(s, d), query_frame(s, SINGLE), 10, ALPHA, "precise"))
 
 
-@query("relevance_clustered", f"WITH {PARTS}, {queries_sql(SINGLE)} SELECT qid, id, round(sum(w * qw), 6) AS ir FROM wt JOIN q USING (term) GROUP BY qid, id")
+@query("relevance_clustered", f"WITH {PARTS}, {queries_sql(SINGLE)}, c AS (SELECT qid, id, {CLUSTER} AS cluster, sum(w * qw) AS ir FROM wt JOIN q USING (term) GROUP BY 1, 2, 3) SELECT qid, id, round(max(ir), 6) AS ir FROM c GROUP BY qid, id")
 def _(s, d):
     return rounded(ranking.relevance(clustered(parts(s, d)), query_frame(s, SINGLE), "precise", by_cluster=True))
 
@@ -553,9 +635,11 @@ SCORE = {
 }
 
 
-def scores_sql(kind: str) -> str:
+def scores_sql(kind: str, by: str = "0") -> str:
+    """The scores of objects; by cluster, the best of an object's scores."""
     return f"""kw(term, qw) AS (VALUES {values(KEYWORDS)}), tops AS (SELECT term, max(w) AS tm FROM wt GROUP BY term),
-scores AS (SELECT id, {SCORE[kind]} AS score FROM wt JOIN kw USING (term) JOIN tops USING (term), (SELECT sum(qw) AS qall, sum(qw * qw) AS qsq FROM kw) GROUP BY id)"""
+part_scores AS (SELECT id, {by} AS c, {SCORE[kind]} AS score FROM wt JOIN kw USING (term) JOIN tops USING (term), (SELECT sum(qw) AS qall, sum(qw * qw) AS qsq FROM kw) GROUP BY 1, 2),
+scores AS (SELECT id, max(score) AS score FROM part_scores GROUP BY id)"""
 
 
 for _kind in ("sum", "jaccard", "cosine"):
@@ -564,7 +648,7 @@ for _kind in ("sum", "jaccard", "cosine"):
     def _(s, d, kind=_kind):
         return rounded(joins.keyword_scores(parts(s, d), joins.JoinQuery(kind, "textual", KEYWORDS)))
 
-    @query(f"keyword_score_clustered_{_kind}", f"WITH {PARTS}, {scores_sql(_kind)} SELECT id, round(score, 6) AS score FROM scores")
+    @query(f"keyword_score_clustered_{_kind}", f"WITH {PARTS}, {scores_sql(_kind, CLUSTER)} SELECT id, round(score, 6) AS score FROM scores")
     def _(s, d, kind=_kind):
         return rounded(joins.clustered_keyword_scores(clustered(parts(s, d)), joins.JoinQuery(kind, "textual", KEYWORDS)))
 
@@ -653,7 +737,7 @@ def _(s, d):
 
 @query("kmeans")
 def _(s, d):
-    return clustering.spherical_kmeans(weights.tfidf(objects.part_terms(s, d)), 8, seed=7)
+    return clustering.spherical_kmeans(weights.tfidf(objects.part_terms(s, d)), 8, seed=7, iterations=8)
 
 
 def _source(s, d) -> generate.Source:
@@ -661,6 +745,11 @@ def _source(s, d) -> generate.Source:
     return harness.source_of(SpatioTextual(objects.part_objects(s, d), terms, 1.0), terms, objects.WORLD)
 
 
+@query("ranked_vocabulary", f"WITH terms AS ({DOC_TERMS}) SELECT row_number() OVER (ORDER BY term) - 1 AS i, term FROM (SELECT DISTINCT term FROM terms)")
+def _(s, d):
+    return harness.ranked_vocabulary(objects.document_terms(s, d))
+
+
 @query("generated_queries")
 def _(s, d):
     return query_frame(s, generate.Generator(_source(s, d), 3).single(20, 4, 0.01, 50))
@@ -676,3 +765,11 @@ def _(s, d):
 def _(s, d):
     c = config.Config(params=config.QueryParams(queries=3, keywords=1, keyword_space=100, radius=40.0), sweeps={"k": [1, 10]}, experiments=["nearest", "ranked"])
     return harness.summary(harness.run(s, c, d)).select("experiment", "swept", "value", "rows")
+
+
+@query("experiment_two_sets")
+def _(s, d):
+    """A join over two data sets, distance and similarity swept together; the detailed metrics' names and counts."""
+    second = config.DatasetConfig("PART", usage=0.5)
+    c = config.Config(secondary=second, params=config.QueryParams(join_similarity=0.3), sweeps={"combined": [[1.0, 0.3], [2.0, 0.4]]}, experiments=["join_two"])
+    return harness.detailed(harness.run(s, c, d)).select("queryType", "value", "numIterations", "totalResults", "totalReturnedPairs")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .objects import line_index
 
 
 def validate(places: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -28,13 +29,16 @@ def validate(places: DataFrame, keywords: DataFrame) -> DataFrame:
 def repair(rows: DataFrame, order: str) -> DataFrame:
     """``rows`` with new_id: the first row of an id keeps it, later ones get the ids after the largest, in order.
 
-    Only the repeated rows are numbered in one sequence.
+    The repeated rows are numbered in ranges of ``order``, a numeric column. The rows of one id are told
+    apart by their place against its least one, which is an aggregate.
     """
-    seen = rows.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(order)))
+    first = rows.groupBy("id").agg(F.min(order).alias("_first"))
+    seen = rows.join(first, "id")
+    again = line_index(seen.where(F.col(order) > F.col("_first")), [order, "id"])
     top = rows.agg(F.max("id").alias("_top"))
-    again = seen.where("_n > 1").withColumn("_k", F.row_number().over(Window.orderBy(order)))
-    again = again.crossJoin(F.broadcast(top)).withColumn("new_id", F.col("_top") + F.col("_k")).drop("_k", "_top")
-    return seen.where("_n = 1").withColumn("new_id", F.col("id")).unionByName(again).drop("_n")
+    again = again.crossJoin(F.broadcast(top)).withColumn("new_id", F.col("_top") + F.col("_i") + 1).drop("_i", "_top")
+    kept = seen.where(F.col(order) == F.col("_first")).withColumn("new_id", F.col("id"))
+    return kept.unionByName(again).drop("_first")
 
 
 def extent(objects: DataFrame) -> DataFrame:

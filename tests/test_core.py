@@ -6,13 +6,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loxogram.functions import costs
+from loxogram.functions import costs, similarity
 from loxogram.functions import geometry as G
 from loxogram.operators import boolean, clustering, group, joins, ranking, spatial, weights
 from loxogram.operators.frame import SpatioTextual, max_distance, place_frame, query_frame
 from loxogram.plans import generate, harness
 from loxogram.sources import config, objects, sampling, validation, writers
 
+pytestmark = pytest.mark.usefixtures("plain_plans")
+
 EIGHT = {
     1: (10, 20, [101, 102, 103]), 2: (15, 25, [102, 103]), 3: (12, 22, [101, 103, 104]), 4: (50, 50, [105]),
     5: (5, 5, [101, 106]), 6: (25, 15, [102, 107]), 7: (30, 30, [103, 108, 101]), 8: (60, 60, [109]),
@@ -83,7 +85,9 @@ def test_plans_agree(spark, kind, mode):
     data = data_of(spark, rows, 28.0)
     q = joins.JoinQuery(kind, mode, (("1", 0.7), ("2", 0.5), ("5", 0.2)), (2.0, 2.0, 18.0, 18.0))
     key = lambda df: sorted((r["id1"], r["id2"], round(r["combined"], 9)) for r in df.collect())
-    assert key(joins.threshold_join(data, None, q, 4, 0.2)) == key(joins.threshold_join(data, None, q, 4, 0.2, plan="nested"))
+    near = key(joins.threshold_join(data, None, q, 4, 0.2, plan="nested"))
+    for plan in ("auto", "grid", *(["terms"] if mode in ("full", "spatial") else [])):
+        assert key(joins.threshold_join(data, None, q, 4, 0.2, plan=plan)) == near
     every = key(joins.top_k_join(data, None, q, 12, plan="all"))
     assert len(every) == 12 and key(joins.top_k_join(data, None, q, 12)) == every
     even, odd = objects.with_ids(data, lambda i: i % 2 == 0), objects.with_ids(data, lambda i: i % 2 == 1)
@@ -93,6 +97,28 @@ def test_plans_agree(spark, kind, mode):
     assert key(joins.top_k_join(even, odd, q, 5)) == key(joins.top_k_join(even, odd, q, 5, plan="all"))
 
 
+@pytest.mark.parametrize(("kind", "alpha"), [("sum", 0.3), ("jaccard", 0.3), ("cosine", 0.3), ("jaccard", 0.0), ("cosine", 1.0)])
+def test_bounded_plans_on_more_objects(spark, monkeypatch, kind, alpha):
+    """With a low limit of the grid's pairs, terms find the candidates; the answers are those of all pairs."""
+    monkeypatch.setattr(joins, "GRID_PAIRS", 0.5)
+    rng = random.Random(11)
+    rows = {i: (rng.uniform(0, 30), rng.uniform(0, 30), [min(rng.randrange(1, 40), rng.randrange(1, 40)) for _ in range(rng.randrange(1, 7))]) for i in range(140)}
+    rows |= {200 + i: (5.0, 5.0, [1, 2]) for i in range(6)} | {300 + i: (7.0 + i, 5.0, [900 + i]) for i in range(4)}
+    data = data_of(spark, rows, 42.0)
+    q = joins.JoinQuery(kind, "full", alpha=alpha)
+    even, odd = objects.with_ids(data, lambda i: i % 2 == 0), objects.with_ids(data, lambda i: i % 2 == 1)
+    key = lambda df, *c: [tuple(round(v, 9) if isinstance(v, float) else v for v in (r[x] for x in c)) for r in df.orderBy(*c).collect()]
+    for k in (25, 400) if alpha == 0.3 else (25,):
+        assert key(joins.top_k_join(data, None, q, k), "rank", "id1", "id2", "combined") == key(joins.top_k_join(data, None, q, k, plan="all"), "rank", "id1", "id2", "combined")
+    assert key(joins.top_k_join(even, odd, q, 30), "rank", "id1", "id2") == key(joins.top_k_join(even, odd, q, 30, plan="all"), "rank", "id1", "id2")
+    assert key(joins.nearest_join(even, odd, q, 3), "id1", "rank", "id2") == key(joins.nearest_join(even, odd, q, 3, plan="all"), "id1", "rank", "id2")
+
+
+def test_scores_that_do_not_count(spark):
+    frame = spark.createDataFrame([(1, float("nan")), (2, float("inf")), (3, -0.5), (4, 0.0), (5, None), (6, 0.25)], "id int, score double")
+    assert [r["id"] for r in frame.where(similarity.sane(F.col("score"))).collect()] == [6]
+
+
 def test_joins_that_refuse(eight):
     assert joins.top_k_join(eight, None, joins.JoinQuery("jaccard", "spatial"), 3).count() == 0
     assert joins.top_k_join(eight, None, joins.JoinQuery("jaccard"), 0).count() == 0
@@ -143,6 +169,21 @@ def test_groups(spark, eight, name):
         group.aggregator("MEDIAN")
 
 
+def test_many_members_go_in_blocks(spark, eight):
+    rows = [{"qid": 10 * g + i, "gid": g, "weight": 1.0, "x": 10.0 * i, "y": 20.0 - g, "keywords": [(str(101 + (g + i) % 4), 0.5)]} for g in range(5) for i in range(3)]
+    gids = spark.createDataFrame([(r["qid"], r["gid"]) for r in rows], "qid int, gid int")
+    who, asked = place_frame(spark, rows).join(gids, "qid"), query_frame(spark, rows).drop("weight", "x", "y")
+    key = lambda df: sorted((r["gid"], r["rank"], r["id"], round(r["cost"], 9), r["member_ids"]) for r in df.collect())
+    whole = key(group.group_nearest(eight, who, asked, 2))
+    assert len(whole) == 10 and key(group.group_nearest(eight, who, asked, 2, block=4)) == whole
+    assert key(group.subgroup_nearest(eight, who, asked, 2, 2, "MAX", block=1)) == key(group.subgroup_nearest(eight, who, asked, 2, 2, "MAX"))
+
+
+def test_many_query_keywords(spark):
+    asked = query_frame(spark, [{"qid": 1, "x": 0, "y": 0, "keywords": [(f"k{i}", 1.0) for i in range(100_001)]}])
+    assert asked.count() == 100_001
+
+
 def test_max_takes_the_worst_member(spark, eight):
     best = group.group_nearest(eight, *members(spark), 8, "MAX").collect()
     costs_ = group.member_costs(eight, *members(spark)).collect()
@@ -231,6 +272,13 @@ def test_samplers(spark):
 def test_validation(spark):
     rows = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (2, 4), (5, 5)], "id long, line int")
     assert {(r["line"], r["new_id"]) for r in validation.repair(rows, "line").collect()} == {(1, 1), (2, 6), (3, 2), (4, 7), (5, 5)}
+    many = spark.range(4000).select((F.col("id") % 3).alias("id"), (F.col("id") * 7 % 4001).alias("line"))
+    want, seen, top = {}, set(), 2
+    for r in sorted(many.collect(), key=lambda r: r["line"]):
+        top += r["id"] in seen
+        want[r["line"]] = top if r["id"] in seen else r["id"]
+        seen.add(r["id"])
+    assert {r["line"]: r["new_id"] for r in validation.repair(many, "line").collect()} == want
     same = spark.createDataFrame([(1,), (2,)], "id long")
     assert validation.validate(same, same).first()["valid"] and not validation.validate(rows, same).first()["valid"]
 
@@ -238,16 +286,57 @@ def test_validation(spark):
 def test_kmeans(spark):
     rows = [(0, 0, 1.0), (0, 1, 1.0), (1, 0, 1.0), (1, 1, 0.9), (2, 8, 1.0), (2, 9, 1.0), (3, 8, 0.8), (3, 9, 1.0)]
     w = spark.createDataFrame([(i, str(t), v) for i, t, v in rows], "id long, term string, w double")
-    first = {r["id"]: r["cluster"] for r in clustering.spherical_kmeans(w, 2, seed=1).collect()}
-    assert first == {r["id"]: r["cluster"] for r in clustering.spherical_kmeans(w, 2, seed=1).collect()}
-    assert len(first) == 4 and set(first.values()) <= {0, 1}
-    for bad, k in ((w, 5), (w.limit(0), 1)):
+    for init in clustering.INITS:
+        first = {r["id"]: r["cluster"] for r in clustering.spherical_kmeans(w, 2, seed=1, init=init).collect()}
+        assert first == {r["id"]: r["cluster"] for r in clustering.spherical_kmeans(w.repartition(3), 2, seed=1, init=init).collect()}
+        assert len(first) == 4 and set(first.values()) <= {0, 1}
+    plus = {r["id"]: r["cluster"] for r in clustering.spherical_kmeans(w, 2, seed=3).collect()}
+    assert plus[0] == plus[1] != plus[2] == plus[3]
+    for bad, k in ((w, 5), (w, 0), (w.limit(0), 1)):
         with pytest.raises(ValueError):
             clustering.spherical_kmeans(bad, k)
+    with pytest.raises(ValueError):
+        clustering.spherical_kmeans(w, 2, init="other")
+
+
+def test_kmeans_against_plain_code(spark):
+    """Rounds of assignment and means from the same start; an empty centre starts from a document again."""
+    rng = random.Random(4)
+    vectors = {i: {str(rng.randrange(12)): rng.uniform(0.1, 1) for _ in range(4)} for i in range(30)}
+    w = spark.createDataFrame([(i, t, v) for i, d in vectors.items() for t, v in d.items()], "id long, term string, w double")
+    norm = lambda d: math.sqrt(sum(v * v for v in d.values()))
+    cos = lambda a, b: round(sum(v * b.get(t, 0) for t, v in a.items()) / (norm(a) * norm(b)), 12)
+    norms = clustering._norms(w, "id")
+    centres = clustering.centres_of(w, [3, 8, 21])
+    plain = [vectors[i] for i in (3, 8, 21)]
+    for _ in range(3):
+        placed = clustering.assign(w, norms, centres)
+        want = {i: max(range(3), key=lambda k: (cos(d, plain[k]), -k)) for i, d in vectors.items()}
+        assert {r["id"]: r["cluster"] for r in placed.collect()} == want
+        groups = [[vectors[i] for i in vectors if want[i] == k] for k in range(3)]
+        plain = [{t: sum(d.get(t, 0) for d in g) / len(g) for t in {t for d in g for t in d}} for g in groups]
+        centres = clustering.means(w, placed)
+    same = spark.createDataFrame([(i, "a", 1.0) for i in range(5)], "id long, term string, w double")
+    found = clustering.spherical_kmeans(same, 3, seed=2, iterations=4)
+    assert {r["cluster"] for r in found.collect()} == {0} and found.count() == 5
+
+
+def test_partition_quality(spark):
+    boxes = box_rows(spark, [(1, (0, 0, 2, 2)), (2, (0, 1, 1, 6)), (3, (8, 0, 9, 1)), (4, (8, 9, 10, 10))])
+    tiles = {(r["tile_x"], r["tile_y"]): r for r in spatial.partition_quality(boxes, 2, 2, "grid").collect()}
+    assert {k: r["n"] for k, r in tiles.items()} == {(0, 0): 2, (1, 0): 1, (1, 1): 1}
+    assert [tiles[k]["overlap"] for k in ((0, 0), (1, 0))] == [0.0, 0.0] and not any(r["violation"] for r in tiles.values())
+    tall = box_rows(spark, [(1, (0, 0, 2, 6)), (2, (0, 5, 2, 9)), (3, (9, 0, 10, 1))])
+    row = spatial.quality_summary(spatial.partition_quality(tall, 2, 4, "grid")).first()
+    assert (row["tiles"], row["entries"], row["overlap"], row["violations"]) == (3, 3, 2.0, 0)
+    points = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(35)], "id long, x double, y double")
+    assert sum(r["n"] for r in spatial.partition_quality(points, 3, 2).collect()) == 35
+    with pytest.raises(ValueError):
+        spatial.partition_quality(points, 2, 2, "other")
 
 
 def test_generator():
-    source = generate.Source((0, 0, 100, 50), [(1, 1), (99, 49)], ["a", "b"], [f"w{i}" for i in range(50)])
+    source = generate.Source.of((0, 0, 100, 50), [(1, 1), (99, 49)], ["a", "b"], [*(f"w{i}" for i in range(48)), "a", "b"])
     one, two = (generate.Generator(source, 4).single(5, 4, 0.01, 20) for _ in range(2))
     assert one == two
     for q in one:
@@ -260,11 +349,46 @@ def test_generator():
     assert generate.subgroup_size(10, 60) == 6 and generate.area_fraction(4) == 0.04
 
 
+def test_vocabulary_beyond_ten_thousand_words(spark):
+    words = [f"{chr(97 + i % 26)}{i:06d}é" for i in range(12_000)] + ["", "x", "日本"]
+    terms = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id long, term string")
+    ranked = {r["i"]: r["term"] for r in harness.ranked_vocabulary(terms).collect()}
+    assert [ranked[i] for i in range(len(words))] == sorted(words)
+    places = terms.select("id", F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    source = harness.source_of(SpatioTextual(places, terms, 1.0), terms, (0, 0, 10, 10))
+    assert source.size == len(words) and source.words([0, 11_999]) == {0: "", 11_999: ranked[11_999]}
+    drawn = [generate.Generator(source, s).keywords(4, 1) for s in range(3)]
+    assert all(len(set(d)) == 4 and set(d) <= set(words) for d in drawn)
+
+
 def test_config_and_sweep():
-    c = config.load('{"dataset": "SPORTS", "smoothing": 0, "params": {"numberOfKeywords": 2}, "sweeps": {"topk": [1, 5]}, "overrides": {"ranked": {"alpha": 0.9}}}')
+    c = config.load('{"dataset": "SPORTS", "secondary": {"name": "PART", "usage": 0.5}, "smoothing": 0, "params": {"numberOfKeywords": 2}, "sweeps": {"topk": [1, 5]}, "overrides": {"ranked": {"alpha": 0.9}}}')
     assert c.smoothing == 0.2 and c.params.keywords == 2 and config.load(config.save(c)) == c
+    assert c.dataset.name == "SPORTS" and c.secondary.share == 0.5 and config.DatasetConfig(usage=7).share == 1.0
     plans = list(harness.sweep(c, "ranked"))
     assert [(n, v, p.k, p.alpha) for n, v, p in plans] == [("defaults", "", 10, 0.9), ("k", 1, 1, 0.9), ("k", 5, 5, 0.9)]
+    both = config.Config(sweeps={"join_distance": [1.0, 2.0, 3.0], "join_similarity": [0.1, 0.2], "combined": True})
+    found = [(v, p.join_distance, p.join_similarity) for n, v, p in harness.sweep(both, "join") if n == "combined"]
+    assert found == [("1.000 / 0.10", 1.0, 0.1), ("2.000 / 0.20", 2.0, 0.2)]
+    pairs = config.Config(sweeps={"combined": [[0.5, 0.9]]})
+    assert [v for n, v, _ in harness.sweep(pairs, "join") if n == "combined"] == ["0.500 / 0.90"]
+
+
+def test_experiment_over_two_data_sets(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("".join(f"{i},{i % 9},{i % 7}\n" for i in range(60)))
+    (tmp_path / "k.csv").write_text("".join(f"{i},red,t{i % 5}\n" for i in range(60)))
+    files = config.DatasetConfig("HOTELS", str(tmp_path / "p.csv"), str(tmp_path / "k.csv"), 0.5)
+    data, terms, box = harness.load_dataset(spark, "", files, 0.2)
+    assert data.objects.count() == 30 and box == (-159.0, 19.0, -68.0, 70.0) and data.max_distance == pytest.approx(math.hypot(91, 51))
+    c = config.Config(dataset=config.DatasetConfig("", str(tmp_path / "p.csv"), str(tmp_path / "k.csv")), secondary=files, params=config.QueryParams(join_distance=1.5, join_similarity=0.1, keyword_space=100, keywords=2), experiments=["join_two", "ranked"], iterations=2)
+    metrics = harness.run(spark, c, "")
+    rows = metrics.where("experiment = 'join_two'").collect()
+    assert len(rows) == 2 and rows[0]["rows"] == rows[1]["rows"] > 0 and rows[0]["scanned"] > 0 and rows[0]["spatial"] is not None
+    shown = harness.detailed(metrics)
+    assert shown.columns == ["queryType", "value", "numIterations", "totalTimeMs", "medianTimeMs", "minTimeMs", "maxTimeMs", "avgTimeMs", "totalNodesVisited", "avgNodesVisited", "avgSpatialCost", "avgTextualCost", "avgIRCost", "totalResults", "avgResults", "totalReturnedPairs", "avgReturnedPairs", "memoryDeltaBytes"]
+    assert [(r["queryType"], r["value"], r["numIterations"]) for r in shown.collect()] == [("join_two", "default", 2), ("ranked", "default", 2)]
+    with pytest.raises(ValueError):
+        harness.load_dataset(spark, "", config.DatasetConfig("PARKS"), 0.2)
 
 
 def test_writers(spark, tmp_path):

@@ -7,17 +7,20 @@ from loxogram.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["tksk", "bksk", "brsk", "lkt", "tfidf_smoothed", "language_model", "gnnk_max", "sgnnk_ex", "stsj_sum", "stsj_multiset_cosine", "topk_stsj_jaccard", "topk_stsj_ex_all", "keyword_score_jaccard", "join_min_distance", "sample_systematic", "dense_regions"]
 
+#: Without rows on 200 parts; the driver compares them on larger tables.
+NONE_HERE = {"join_intersection", "similarity_cosine", "similarity_jaccard", "similarity_sum", "stsj_multiset_textual"}
+pytestmark = pytest.mark.usefixtures("plain_plans")
 
-@pytest.mark.parametrize("name", CHECKED)
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want, got = con.sql(registry.ORACLE_SQL[name]).df(), registry.QUERIES[name](spark, SF).toPandas()
     columns = sorted(want.columns)
-    assert columns == sorted(got.columns) and len(got)
+    assert columns == sorted(got.columns) and (len(got) or name in NONE_HERE)
     rows = lambda df: sorted(map(str, df[columns].itertuples(index=False, name=None)))
     assert rows(want) == rows(got)
 
