@@ -11,7 +11,8 @@ key dealt over tasks by adaptive execution's skew handling.
 
 Defined cases: a null text equals the empty text; of equal texts the row with the largest doc_id
 stays (null ids lose to any other); rows that also share the doc_id count one by one, and exactly one of
-them stays; an empty table gives no rows; columns other than id and text are left alone.
+them stays; an empty table gives no rows; columns other than id and text are left alone, under any names but
+_rid and _stays; a very long text is as many rows as it has blocks, which different tasks name.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ loss against one global packing is those bins over the tens of thousands that a
 
 Defined cases: a null text is empty and yields the end id alone; an empty table yields no rows;
 repeated rows are packed each for itself; equal lengths are taken in the order of (doc_id, piece).
-Columns other than the id and the text are ignored, so their names can't clash.
+Columns other than the id and the text are ignored, so their names can't clash; a very long text is encoded whole
+by one task, and its pieces are rows of their own from there.
 """
 
 from __future__ import annotations
@@ -142,7 +143,7 @@ class WordCache:
         return ids, cuts
 
 
-def _pieces(tokenizer: str, sequence: int, end_id: int):
+def _pieces(tokenizer: str, sequence: int, end_id: int, with_ids: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.setdefault(tokenizer, None) or WordCache(tokenizer)
         _encoders[tokenizer] = encoder
@@ -155,12 +156,11 @@ def _pieces(tokenizer: str, sequence: int, end_id: int):
                     raw = ids[a:b].tobytes() + end
                     for k, c in enumerate(range(0, len(raw), 4 * sequence)):
                         part = raw[c : c + 4 * sequence]
-                        out.append((doc, k, c // 4, len(part) // 4, zlib.crc32(part)))
-                doc, k, start, length, crc = zip(*out, strict=True) if out else [()] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(k, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+                        out.append((doc, k, c // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
+                doc, k, start, length, crc, parts = zip(*out, strict=True) if out else [()] * 6
+                columns = [pa.array(doc, pa.int64()), pa.array(k, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(parts, pa.binary())] if with_ids else [])], names=[*names, *(["ids"] if with_ids else [])])
 
     return run
 
@@ -217,15 +217,41 @@ def _pack_group(sequence: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, group_pieces: int = GROUP_PIECES, seed: int = 7) -> DataFrame:
-    """Pieces of all documents with the sequence and the place that each is given."""
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_pieces(tokenizer, sequence, end_id), PIECES)
-    cut = materialize(cut, "pieces")
+def cut_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """The pieces of all documents, written; with their ids (little-endian unsigned 32 bits) if asked for."""
+    schema = f"{PIECES}, ids binary" if with_ids else PIECES
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_pieces(tokenizer, sequence, end_id, with_ids), schema)
+    return materialize(cut, "pieces")
+
+
+def placed(cut: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES, seed: int = 7) -> DataFrame:
+    """PACKED for the pieces."""
     groups = max(1, -(-cut.count() // group_pieces))
-    dealt = cut.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "piece", "ids_crc32", "start"), F.lit(groups)))
+    dealt = cut.select("doc_id", "piece", "start", "length", "ids_crc32")
+    dealt = dealt.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "piece", "ids_crc32", "start"), F.lit(groups)))
     return dealt.groupBy("g").applyInPandas(_pack_group(sequence), PACKED)
 
 
+def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, group_pieces: int = GROUP_PIECES, seed: int = 7) -> DataFrame:
+    """Pieces of all documents with the sequence and the place that each is given."""
+    return placed(cut_documents(docs, tokenizer, sequence, end_id), sequence, group_pieces, seed)
+
+
+def packed_sequences(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, group_pieces: int = GROUP_PIECES, seed: int = 7) -> DataFrame:
+    """(sequence_id, length, ids): the packed sequences themselves, each of at most ``sequence`` ids.
+
+    Pieces that agree in all that names them (repeated rows) have the same ids, so any of them fills any of their places.
+    """
+    cut = cut_documents(docs, tokenizer, sequence, end_id, with_ids=True)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    places = materialize(placed(cut, sequence, group_pieces, seed), "placed").withColumnsRenamed({c: f"_{c}" for c in names})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
+    met = places.join(cut.dropDuplicates(names), same[0] & same[1] & same[2] & same[3] & same[4])
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("offset", "ids"))), lambda p: p["ids"])
+    joined = F.aggregate(parts, F.lit(b""), lambda acc, p: F.concat(acc, p))
+    return met.groupBy("sequence_id").agg(F.sum("length").alias("length"), joined.alias("ids"))
+
+
 def op10_pack(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -10,7 +10,9 @@ id) and a bounded number of pairs, so the driver holds a few thousand feature ro
 corpus. Scoring is a map over all rows without a shuffle and reads whole texts.
 
 Defined cases: null and empty texts have the features of no words and get a score like any other;
-without labels of both kinds every score is 0.5; labels that are null are not used.
+without labels of both kinds every score is 0.5; labels that are null are not used; repeated rows score alike, and
+repeated labels weigh as often as they occur; an empty table gives no rows; other columns are kept under any names but _score;
+a very long text is held whole by one task, with its distinct words and pairs of words.
 """
 
 from __future__ import annotations

@@ -103,8 +103,9 @@ def matches(docs: DataFrame, items: DataFrame, span: int, gram: int) -> DataFram
     return met.groupBy("rid").agg(F.collect_set(F.struct("k", "p", "around", "before", "item_ids")).alias("matches"))
 
 
-def doc_key() -> Column:
-    return F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"))
+def doc_key(doc_id: Column | str = "doc_id", text: Column | str = "text") -> Column:
+    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.struct(doc_id.alias("d"), F.xxhash64(text).alias("h"))
 
 
 def extended(span: int, gram: int) -> Column:
@@ -133,18 +134,22 @@ def count_covered(spans: str) -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """``docs`` with n_words, n_hit, _spans (hit words as [a, b) with item ids) and item_ids.
+    """``docs`` with n_words, n_hit, _spans (hit words as [a, b) with item ids) and item_ids, which replace columns of these names.
 
-    Names of these columns must be free in ``docs``.
+    Other columns may have any names: the work is done under names of its own.
     """
+    names, added = docs.columns, ["n_words", "n_hit", "_spans", "item_ids"]
+    own = [f"_c{i}" for i in range(len(names))]
+    doc_id, text = (F.col(own[names.index(c)]) for c in ("doc_id", "text"))
     found = matches(docs, items, span, gram).withColumnRenamed("rid", "_rid")
-    joined = docs.withColumn("_rid", doc_key()).join(found, "_rid", "left").drop("_rid")
-    joined = joined.withColumn("_w", words(F.col("text")))
+    joined = docs.toDF(*own).withColumn("_rid", doc_key(doc_id, text)).join(found, "_rid", "left").drop("_rid")
+    joined = joined.withColumn("_w", words(text))
     joined = joined.withColumn("n_words", F.size("_w").cast("long"))
     joined = joined.withColumn("_spans", F.when(F.col("matches").isNotNull(), extended(span, gram)))
     joined = joined.withColumn("n_hit", F.coalesce(count_covered("_spans").cast("long"), F.lit(0)))
     ids = F.array_distinct(F.flatten(F.transform("_spans", lambda s: s["ids"])))
-    return joined.withColumn("item_ids", F.coalesce(ids, F.array().cast("array<long>"))).drop("_w", "matches")
+    joined = joined.withColumn("item_ids", F.coalesce(ids, F.array().cast("array<long>")))
+    return joined.select(*[F.col(c).alias(n) for c, n in zip(own, names, strict=True) if n not in added], *added)
 
 
 def op8_winnow(spark, sf_dir: str) -> DataFrame:
