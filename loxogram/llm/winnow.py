@@ -11,7 +11,7 @@ A fingerprint is one long: the upper bits are the hash, the lower ones the place
 that the least value of a window is the least hash and the last place. Equal upper bits propose; the
 words themselves decide.
 
-Benchmark fingerprints are broadcast while a count of them proves them small, and shuffled otherwise. A
+Benchmark fingerprints are broadcast while their number and bytes prove them small, and shuffled otherwise. A
 document's own fingerprints leave its row only as (key, value); matches are gathered per document, which
 its length and the number of items that share its passages bound.
 
@@ -28,7 +28,8 @@ from .common import ascii_lower, materialize, table
 
 SPAN, GRAM = 10, 5
 PLACE_BITS = 30
-BROADCAST_ROWS = 200_000
+#: Benchmark fingerprints are broadcast up to so many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: What does not belong to a word, once A-Z are lower case.
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -98,7 +99,8 @@ def matches(docs: DataFrame, items: DataFrame, span: int, gram: int) -> DataFram
     keyed = docs.select(doc_key().alias("rid"), "text")
     found = fingerprints(keyed, ["rid"], lengths, span, gram)
     found = found.select("rid", "k", F.shiftright("value", PLACE_BITS).alias("hash"), place_of("value").alias("p"))
-    small = prints.count() <= BROADCAST_ROWS
+    rows, size = prints.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.array_join("around", " ")) + 8 * F.size("around") + 8 * F.size("item_ids"))).first()
+    small = rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
     met = found.join(F.broadcast(prints) if small else prints, ["k", "hash"])
     return met.groupBy("rid").agg(F.collect_set(F.struct("k", "p", "around", "before", "item_ids")).alias("matches"))
 

@@ -158,3 +158,20 @@ def test_very_long_texts(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_exact(spark, frame, SF).collect()) == [2, 3, 4, 5]
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near(spark, frame, SF).collect()) == [1, 4, 5]
     assert corpus_pipeline.drop_benchmark(spark, frame, SF).count() == 5
+
+
+def test_scratch_is_cleared(spark, docs):
+    import os
+
+    common.materialize(docs.select("doc_id"), "gone")
+    assert any(n.startswith("gone-") for n in os.listdir(common.scratch_dir(spark)))
+    common.clear_scratch(spark)
+    assert not os.path.exists(common.scratch_dir(spark))
+
+
+def test_benchmarks_beyond_the_byte_bound(spark, docs, rows, monkeypatch):
+    items = spark.createDataFrame([(1, rows[0][1]), (2, "twice the same row")], "item_id long, text string")
+    count = lambda: Counter((r["doc_id"], r["n_hit"]) for r in winnow.contamination(docs, items).collect())
+    small = count()
+    monkeypatch.setattr(winnow, "BROADCAST_BYTES", 0)
+    assert count() == small
