@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loxogram.llm import common, langid, packing, quality, registry, shards, warc, winnow
+from loxogram.llm import common, langid, packing, quality, registry, warc, winnow
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,38 +85,6 @@ def test_ranker_orders_by_preference():
     assert 0 < r.quantile < 1
 
 
-# --- shards ---
-
-
-@pytest.mark.parametrize(("n", "bucket"), [(24, 5), (5, 100)])
-def test_shards(spark, docs, rows, n, bucket):
-    text = F.coalesce("text", F.lit(""))
-    found = shards.shuffle_shards(docs.select("doc_id", F.crc32(text.cast("binary")).alias("c")), n, bucket).collect()
-    assert Counter((r["doc_id"], r["c"]) for r in found) == Counter((i, zlib.crc32((t or "").encode())) for i, t, _ in rows)
-    slots = defaultdict(list)
-    for r in found:
-        slots[r["_shard"]].append(r["_slot"])
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    sizes = [len(slots[k]) for k in range(n)]
-    assert max(sizes) - min(sizes) <= 1
-
-
-def test_shards_are_shuffled_and_written(spark, docs, rows, empty, tmp_path):
-    many = spark.range(2000).withColumnRenamed("id", "doc_id")
-    one = [(r["_shard"], r["_slot"], r["doc_id"]) for r in shards.shuffle_shards(many, 4, 128, seed=1).collect()]
-    order = [d for *_, d in sorted(one)]
-    assert sorted(order) == list(range(2000)) and abs(np.corrcoef(order, range(2000))[0, 1]) < 0.1
-    shards.write_shards(docs, str(tmp_path / "out"), shards=3, bucket_records=7)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == len(rows) and back.select("_shard").distinct().count() == 3
-    assert shards.shuffle_shards(empty.select("doc_id")).count() == 0
-
-
-def test_shard_query(spark):
-    rows = registry.QUERIES["op4_shards"](spark, SF)
-    assert rows.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and rows.count() == 200
-
-
 # --- archives ---
 
 PAGES = [(1, "http://a/é x\r\n", "x" * 1200), (2, None, "x" * 1200), (3, "http://b", "x" * 999), (4, "http://b", "x" * 999), (5, "", None), (6, "u", ""), (7, "u", "\r\n\r\nWARC/1.1\r\né" * 200), (None, "n", "x" * 1200)]
