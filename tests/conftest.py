@@ -21,9 +21,11 @@ def spark():
 
 @pytest.fixture
 def plain_plans(spark):
-    """Tiny tables, many shuffles: two partitions, and no new plan after each stage."""
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    """Tiny tables, many shuffles: two partitions, no new plan after each stage, no compiled stages."""
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.sql.codegen.wholeStage": "false"}
+    before = {k: spark.conf.get(k) for k in plain}
+    for k, v in plain.items():
+        spark.conf.set(k, v)
     yield
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for k, v in before.items():
+        spark.conf.set(k, v)
