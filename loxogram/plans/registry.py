@@ -614,18 +614,13 @@ for _kind in ("sum", "jaccard", "cosine"):
 
     @query(f"similarity_{_kind}", f"WITH {PARTS}, {candidates('a.id < b.id', 2.0)}, {pair_sims(_kind)} SELECT id1, id2, round(sim, 6) AS sim FROM sims")
     def _(s, d, kind=_kind):
-        data = parts(s, d)
-        pairs = spatial.point_pairs(data.objects, data.objects, 2.0, True)
-        return rounded(joins.document_similarity(pairs, data, data, kind).where("sim > 0").select("id1", "id2", "sim"))
+        return joins.near_similarity(parts(s, d), kind, 2.0, 6)
 
 
 @query("similarity_sets", f"WITH {PARTS}, {candidates('a.id < b.id', 2.0)}, l AS (SELECT id, list(DISTINCT term) AS t FROM terms GROUP BY id) SELECT id1, id2, round(1 - len(list_intersect(u.t, v.t))::DOUBLE / len(list_distinct(list_concat(u.t, v.t))), 6) AS dist FROM cand JOIN l u ON u.id = id1 JOIN l v ON v.id = id2")
 def _(s, d):
     data = parts(s, d)
-    sets = data.weights.groupBy("id").agg(F.collect_set("term").alias("t"))
-    pairs = spatial.point_pairs(data.objects, data.objects, 2.0, True).select("id1", "id2")
-    both = pairs.join(sets.select(F.col("id").alias("id1"), F.col("t").alias("a")), "id1").join(sets.select(F.col("id").alias("id2"), F.col("t").alias("b")), "id2")
-    return rounded(both.select("id1", "id2", costs.set_distance(F.col("a"), F.col("b")).alias("dist")))
+    return joins.near_set_distance(data, 2.0, 6)
 
 
 SCORE = {
@@ -701,11 +696,11 @@ for _name, _kind, _mode in (("jaccard", "jaccard", "full"), ("sum", "sum", "full
 
     @query(f"stsj_{_name}", threshold_sql(_kind, _mode, False))
     def _(s, d, kind=_kind, mode=_mode):
-        return rounded(joins.threshold_join(parts(s, d), None, join_query(kind, mode), REACH, FLOOR))
+        return joins.threshold_join(parts(s, d), None, join_query(kind, mode), REACH, FLOOR, digits=6)
 
     @query(f"stsj_multiset_{_name}", threshold_sql(_kind, _mode, True))
     def _(s, d, kind=_kind, mode=_mode):
-        return rounded(joins.threshold_join(*halves(s, d), join_query(kind, mode), REACH, FLOOR))
+        return joins.threshold_join(*halves(s, d), join_query(kind, mode), REACH, FLOOR, digits=6)
 
     @query(f"topk_stsj_{_name}", top_sql(_kind, _mode, False))
     def _(s, d, kind=_kind, mode=_mode):
@@ -718,12 +713,12 @@ for _name, _kind, _mode in (("jaccard", "jaccard", "full"), ("sum", "sum", "full
 
 @query("stsj_distance_only", f"WITH {PARTS}, {candidates('a.id < b.id', REACH)}, sims AS (SELECT *, 1e0 AS sim FROM cand) SELECT {PAIR_COLUMNS} FROM sims")
 def _(s, d):
-    return rounded(joins.threshold_join(parts(s, d), None, join_query("jaccard", "full"), REACH, 0.0))
+    return joins.threshold_join(parts(s, d), None, join_query("jaccard", "full"), REACH, 0.0, digits=6)
 
 
 @query("stsj_nested", threshold_sql("jaccard", "full", False))
 def _(s, d):
-    return rounded(joins.threshold_join(parts(s, d), None, join_query("jaccard", "full"), REACH, FLOOR, plan="nested"))
+    return joins.threshold_join(parts(s, d), None, join_query("jaccard", "full"), REACH, FLOOR, plan="nested", digits=6)
 
 
 @query("knn_join", f"""{join_sql("cosine", "full", None, True)}, r AS (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY round({cost_sql("dist", "sim")}, 9), id2)::INT AS rank FROM sims WHERE sim > 0)

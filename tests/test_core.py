@@ -133,6 +133,38 @@ def test_join_without_text_and_at_no_distance(spark):
     assert joins.threshold_join(data, None, joins.JoinQuery(), -1, 0).count() == 0
 
 
+def test_points_of_a_place_are_compared_as_one(spark, monkeypatch):
+    """Copies made a row for each pair in every join of the plan; ids beyond a block go on in further rows."""
+    monkeypatch.setattr(spatial, "GATHERED", 4)
+    places = spark.createDataFrame([(i, float(i % 3), 0.0) for i in range(30)], "id long, x double, y double")
+    want = sorted((a, b, float(abs(a % 3 - b % 3))) for a in range(30) for b in range(a + 1, 30) if abs(a % 3 - b % 3) <= 1)
+    rows = spatial.gathered(places)
+    assert rows.count() == 9 and rows.agg(F.max(F.size("ids"))).first()[0] == 4
+    assert spatial.place_pairs(rows, rows, 1.0, True).count() == 9 * 10 // 2 - 9
+    for find in (spatial.point_pairs, spatial.nested_point_pairs):
+        assert sorted(tuple(r) for r in find(places, places, 1.0, True).collect()) == want
+    assert sorted((r["id1"], r["id2"]) for r in spatial.point_pairs(places.where("id < 6"), places, 0, False).collect()) == [(a, b) for a in range(6) for b in range(30) if a % 3 == b % 3]
+
+
+def test_pair_joins_broadcast_no_cells(spark):
+    """The nine-fold cells of a table whose estimate is small were broadcast, which took the driver's memory."""
+    places = spark.createDataFrame([(i, float(i % 30), float(i % 7)) for i in range(200)], "id long, x double, y double")
+    data = SpatioTextual(places, spark.createDataFrame([(i, f"t{i % 5}", 0.5) for i in range(200)], "id long, term string, w double"), 40.0)
+    plans = [spatial.point_pairs(places, places, 2.0, True), joins.near_similarity(data, "cosine", 2.0), joins.near_set_distance(data, 2.0), joins.threshold_join(data, None, joins.JoinQuery(), 2.0, 0.0)]
+    for found in plans:
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_common_terms_leave_the_grid_in_place(spark, monkeypatch):
+    """Where all vectors share their terms, a join by terms compares all pairs: more than a full grid."""
+    monkeypatch.setattr(joins, "GRID_PAIRS", 0.5)
+    monkeypatch.setattr(joins, "_term_pairs", None)
+    data = data_of(spark, {i: (i % 10, i // 10, [1, 2, i % 2 + 3]) for i in range(100)}, 14.0)
+    q = joins.JoinQuery("jaccard")
+    key = lambda df: sorted((r["id1"], r["id2"], round(r["combined"], 9)) for r in df.collect())
+    assert key(joins.threshold_join(data, None, q, 2.0, 0.3)) == key(joins.threshold_join(data, None, q, 2.0, 0.3, plan="nested"))
+
+
 def test_top_k_fixtures(spark):
     one = data_of(spark, {100: (0, 0, [7001, 7100]), 101: (0, 0.2, [7001, 7101]), 102: (0, 1, [7001, 7102]), 103: (5, 5, [7999])}, 10.0)
     assert joins.top_k_join(one, None, joins.JoinQuery(), 2).count() == 2
