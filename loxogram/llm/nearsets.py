@@ -1,13 +1,16 @@
 """Near-duplicates by the similarity of word shingles, for the pipeline.
 
 Two documents link where the Jaccard similarity of their sets of five-word shingles is ``SIMILARITY`` or
-more. Candidates come from MinHash: 128 least values in ``BANDS`` bands of ``ROWS``; documents that agree
-in a band are compared by their whole shingle sets (64-bit hashes). A pair at similarity 0.8 shares no
-band with a chance of (1 - 0.8^4)^32, about 5 in 100 million; closer pairs less.
+more. SimHash comes first: fingerprints of the shingle sets, linked by the generalised pigeonhole of ``simhash``,
+and each link checked by the whole shingle sets (64-bit hashes). Its radius reaches few of the pairs at 0.8, so
+MinHash finds the rest: 128 least values in ``BANDS`` bands of ``ROWS``; documents that agree in a band are
+compared, again by their whole sets. A pair at similarity 0.8 shares no band with a chance of
+(1 - 0.8^4)^32, about 5 in 100 million; closer pairs less.
 
-Equal sets are one node. Within a band's value all nodes are first compared with the least one; only nodes
-that this leaves in different components are then compared pair by pair, so that a large group of
-near copies costs one comparison a member. Sizes that rule out the similarity are not compared.
+Equal sets are one node. Within a band's value that holds several components, all nodes of other components are compared
+with one head, which changes from turn to turn; only what ``TURNS`` such turns leave in different components is then
+compared pair by pair, so that a large group of near copies costs a few comparisons a member. Sizes that rule
+out the similarity are not compared.
 
 Defined cases: white space and the case of A-Z do not count; texts under five words are one shingle; null
 or empty texts and texts of white space alone are copies of one another; of each component the row of the
@@ -24,9 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, row_key
-from .simhash import components
+from .simhash import components, links
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 4
+#: Heads that a band's nodes are compared with, one after the other, before they are compared in pairs.
+TURNS = 4
 _draws = np.random.default_rng(20240229)
 MASKS, FACTORS = (_draws.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 MIX = _draws.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -51,6 +56,14 @@ def set_id(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 7)).view(np.int64))
 
 
+def set_print(found: np.ndarray) -> int:
+    """The SimHash of the set: a bit is 1 if it is in over half of the hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(found), 4096):
+        ones += np.unpackbits(found[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
+
+
 def band_values(found: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for k in range(0, len(found), 1024):
@@ -62,15 +75,16 @@ def band_values(found: np.ndarray) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sids, sizes, bands = [], [], []
+        sids, sizes, prints, bands = [], [], [], []
         for text in batch.column(1):
             found = shingles(text.as_py())
             sids.append(set_id(found))
             sizes.append(len(found))
+            prints.append(set_print(found))
             bands.append(band_values(found))
         values = pa.array(np.concatenate(bands) if bands else np.zeros(0, dtype=np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sids) + 1) * BANDS, pa.int32()), values)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), lists], names=["rid", "sid", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), lists], names=["rid", "sid", "n", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,34 +110,56 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return held.where(F.col("i") >= similarity * (F.col("t") - F.col("i")) - 1e-9).select("a", "b")
 
 
+def print_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): the sets that SimHash links, through the least set of each fingerprint."""
+    prints = rows.select("fp", "sid").distinct()
+    least = materialize(prints.groupBy("fp").agg(F.min("sid").alias("head")), "prints")
+    same = prints.join(least, "fp").where("sid != head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
+    one, two = (least.select(F.col("fp").alias(c), F.col("head").alias(f"s{c}")) for c in "ab")
+    linked = links(least.select("fp")).join(one, "a").join(two, "b").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"))
+    return same.unionByName(linked).distinct()
+
+
 def similar_components(docs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of the shingle sets that have a link; ``rows`` are the sketches of ``docs``."""
+    tried = materialize(print_pairs(rows), "pairs")
     nodes = rows.dropDuplicates(["sid"]).select("sid", "n", F.posexplode("bands").alias("k", "v"))
-    heads = nodes.groupBy("k", "v").agg(F.min(F.struct("sid", "n")).alias("head"), F.max("sid").alias("last"))
-    heads = materialize(heads.where("head.sid != last").select("k", "v", "head"), "heads")
-    points = materialize(nodes.join(heads, ["k", "v"]), "points")
+    shared = nodes.groupBy("k", "v").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo != hi").select("k", "v")
+    points = materialize(nodes.join(materialize(shared, "shared"), ["k", "v"]), "points")
+    wanted = points.select("sid").unionByName(tried.select(F.explode(F.array("a", "b")).alias("sid"))).distinct()
     sets = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_sets, "sid long, items array<long>")
-    sets = materialize(sets.join(points.select("sid").distinct(), "sid", "left_semi"), "sets").dropDuplicates(["sid"])
+    sets = materialize(sets.join(wanted, "sid", "left_semi"), "sets").dropDuplicates(["sid"])
     sets = materialize(sets, "sets")
 
-    first = points.where("sid != head.sid").where(alike(F.col("n"), F.col("head.n"), similarity))
-    first = materialize(first.select(F.col("head.sid").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
-    near = materialize(verified(first, sets, similarity), "near")
-    roots = components(near)
-    placed = points.join(roots, points.sid == roots.node, "left").select("k", "v", "sid", "n", F.coalesce("root", "sid").alias("root"))
-    placed = materialize(placed, "placed")
-    split = placed.groupBy("k", "v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("k", "v")
-    left = materialize(placed.join(materialize(split, "split"), ["k", "v"]), "left")
+    near = materialize(verified(tried, sets, similarity), "near")
+    left = points
+    for turn in range(TURNS + 1):
+        roots = components(near)
+        placed = left.select("k", "v", "sid", "n").join(roots, F.col("sid") == roots.node, "left").select("k", "v", "sid", "n", F.coalesce("root", "sid").alias("root"))
+        placed = materialize(placed, "placed")
+        split = placed.groupBy("k", "v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("sid", "n", "root"), F.xxhash64(F.lit(turn), "sid")).alias("head"))
+        left = materialize(placed.join(materialize(split.where("lo != hi").select("k", "v", "head"), "split"), ["k", "v"]), "left")
+        if turn == TURNS or left.isEmpty():
+            break
+        other = left.where("root != head.root").where(alike(F.col("n"), F.col("head.n"), similarity))
+        pairs = other.select(F.least("sid", "head.sid").alias("a"), F.greatest("sid", "head.sid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            break
+        near = near.unionByName(materialize(verified(pairs, sets, similarity), "near"))
+        tried = tried.unionByName(pairs)
+    if left.isEmpty():
+        return roots
     other = left.select("k", "v", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("root").alias("to"))
     more = left.join(other, ["k", "v"]).where("sid < b and root != to").where(alike(F.col("n"), F.col("m"), similarity))
-    more = more.select(F.col("sid").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti")
+    more = more.select(F.col("sid").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti")
     return components(near.unionByName(verified(materialize(more, "pairs"), sets, similarity)))
 
 
 def drop_similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each component, all columns kept."""
     rows = docs.select(row_key("doc_id", "text").alias("rid"), F.col("text").cast("binary").alias("text"))
-    schema = f"rid {rows.schema['rid'].dataType.simpleString()}, sid long, n int, bands array<long>"
+    schema = f"rid {rows.schema['rid'].dataType.simpleString()}, sid long, n int, fp long, bands array<long>"
     rows = materialize(rows.mapInArrow(_sketches, schema), "sketches")
     least = rows.groupBy("sid").agg(F.min(F.struct(F.col("rid.d").isNull().alias("unknown"), "rid")).alias("least"))
     roots = similar_components(docs, rows, similarity)

@@ -64,3 +64,28 @@ def test_near_stage_on_the_sample(spark):
     docs = common.table(spark, SF, "documents")
     want, _ = survivors([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
     assert sorted(r["doc_id"] for r in nearsets.drop_similar(docs).collect()) == want
+
+
+def test_simhash_links_come_first(spark, monkeypatch):
+    """The stage's SimHash step, which was missing: without any band its links, checked by the sets, still join near copies."""
+    monkeypatch.setattr(nearsets, "alike", lambda n, m, similarity: n < 0)
+    words = [f"w{i}" for i in range(900)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "end"])), (3, " ".join(words[:100])), (4, " ".join(words[::-1]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in nearsets.drop_similar(frame).collect()) == [1, 3, 4]
+
+
+def test_a_large_group_of_near_copies_leaves_no_pairs(spark, monkeypatch):
+    """Members that are not similar to the first head were all compared pair by pair."""
+    found = []
+    verified = nearsets.verified
+    monkeypatch.setattr(nearsets, "verified", lambda pairs, *more: found.append(pairs.count()) or verified(pairs, *more))
+    rng, words, rows = random.Random(2), [f"w{i}" for i in range(200)], []
+    for i in range(300):
+        edited = list(words)
+        for at in rng.sample(range(200), rng.choice((1, 2, 3, 4, 5))):
+            edited[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(edited)))
+    kept = nearsets.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == survivors(rows)[0]
+    assert sum(found) < 10 * 300 * 10
