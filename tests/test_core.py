@@ -148,8 +148,8 @@ def test_points_of_a_place_are_compared_as_one(spark, monkeypatch):
 
 def test_pair_joins_broadcast_no_cells(spark):
     """The nine-fold cells of a table whose estimate is small were broadcast, which took the driver's memory."""
-    places = spark.createDataFrame([(i, float(i % 30), float(i % 7)) for i in range(200)], "id long, x double, y double")
-    data = SpatioTextual(places, spark.createDataFrame([(i, f"t{i % 5}", 0.5) for i in range(200)], "id long, term string, w double"), 40.0)
+    places = spark.range(200).select("id", (F.col("id") % 30).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    data = SpatioTextual(places, spark.range(200).select("id", F.concat(F.lit("t"), F.col("id") % 5).alias("term"), F.lit(0.5).alias("w")), 40.0)
     plans = [spatial.point_pairs(places, places, 2.0, True), joins.near_similarity(data, "cosine", 2.0), joins.near_set_distance(data, 2.0), joins.threshold_join(data, None, joins.JoinQuery(), 2.0, 0.0)]
     for found in plans:
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
