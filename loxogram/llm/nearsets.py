@@ -7,10 +7,11 @@ MinHash finds the rest: 128 least values in ``BANDS`` bands of ``ROWS``; documen
 compared, again by their whole sets. A pair at similarity 0.8 shares no band with a chance of
 (1 - 0.8^4)^32, about 5 in 100 million; closer pairs less.
 
-Equal sets are one node. Within a band's value that holds several components, all nodes of other components are compared
-with one head, which changes from turn to turn; only what ``TURNS`` such turns leave in different components is then
-compared pair by pair, so that a large group of near copies costs a few comparisons a member. Sizes that rule
-out the similarity are not compared.
+Equal sets are one node. A shingle that no other compared set has can be in no intersection, so a set that keeps under ``SIMILARITY``
+of its shingles without them leaves the bands. Within a band's value that holds several components, all nodes of other components are compared
+with one head, that with the least part of such shingles. What is still in different components is compared pair by
+pair, each pair in the first band it shares, where the sizes allow the similarity: of the shingles that both can have, some are in the head
+and some not, and both counts are bounded by what either has of each kind.
 
 Defined cases: white space and the case of A-Z do not count; texts under five words are one shingle; null
 or empty texts and texts of white space alone are copies of one another; of each component the row of the
@@ -20,6 +21,8 @@ least doc_id stays (of equal ids one row, and one row where no id is known).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,6 @@ from .common import materialize, row_key
 from .simhash import components, links
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 4
-#: Heads that a band's nodes are compared with, one after the other, before they are compared in pairs.
-TURNS = 4
 _draws = np.random.default_rng(20240229)
 MASKS, FACTORS = (_draws.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 MIX = _draws.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,13 +102,37 @@ def alike(n: Column, m: Column, similarity: float) -> Column:
     return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def reaching(common: Column, n: Column, m: Column, similarity: float) -> Column:
+    """Whether sets of these sizes with no more than so many common shingles can be so similar."""
+    return common >= similarity / (1 + similarity) * (n + m) - 1e-9
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with i, the size of their intersection, and t, the sum of their sizes."""
     left = sets.select(F.col("sid").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("sid").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    held = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("i"), (F.size("x") + F.size("y")).alias("t"))
-    return held.where(F.col("i") >= similarity * (F.col("t") - F.col("i")) - 1e-9).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("i"), (F.size("x") + F.size("y")).alias("t"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+    return overlaps(pairs, sets).where(F.col("i") >= similarity * (F.col("t") - F.col("i")) - 1e-9).select("a", "b")
+
+
+def lone_shingles(sets: DataFrame) -> DataFrame:
+    """(sid, lone): how many shingles of a set no other of ``sets`` has; sets without any have no row."""
+    held = sets.select("sid", F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("sid").alias("sid"))
+    return held.where("c = 1").groupBy("sid").agg(F.count(F.lit(1)).cast("int").alias("lone"))
+
+
+def divided(points: DataFrame, roots: DataFrame) -> DataFrame:
+    """The ``points`` (k, v, sid, n, core) of values that hold several components, with their root and the value's head."""
+    placed = points.select("k", "v", "sid", "n", "core").join(roots, F.col("sid") == roots.node, "left")
+    placed = materialize(placed.select("k", "v", "sid", "n", "core", F.coalesce("root", "sid").alias("root")), "placed")
+    head = F.min_by(F.struct("sid", "n", "core", "root"), F.struct((F.col("n") - F.col("core")) / F.col("n"), "sid"))
+    split = placed.groupBy("k", "v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), head.alias("head")).where("lo != hi")
+    return materialize(placed.join(materialize(split.select("k", "v", "head"), "split"), ["k", "v"]), "left")
 
 
 def print_pairs(rows: DataFrame) -> DataFrame:
@@ -127,33 +152,36 @@ def similar_components(docs: DataFrame, rows: DataFrame, similarity: float = SIM
     shared = nodes.groupBy("k", "v").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo != hi").select("k", "v")
     points = materialize(nodes.join(materialize(shared, "shared"), ["k", "v"]), "points")
     wanted = points.select("sid").unionByName(tried.select(F.explode(F.array("a", "b")).alias("sid"))).distinct()
-    sets = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_sets, "sid long, items array<long>")
-    sets = materialize(sets.join(wanted, "sid", "left_semi"), "sets").dropDuplicates(["sid"])
-    sets = materialize(sets, "sets")
+    chosen = rows.groupBy("sid").agg(F.min("rid").alias("rid")).join(wanted, "sid").select("rid")
+    texts = docs.select(row_key("doc_id", "text").alias("rid"), F.col("text").cast("binary").alias("text"))
+    texts = texts.join(chosen, "rid", "left_semi").dropDuplicates(["rid"])
+    sets = materialize(texts.select("text").mapInArrow(_sets, "sid long, items array<long>"), "sets")
 
     near = materialize(verified(tried, sets, similarity), "near")
-    left = points
-    for turn in range(TURNS + 1):
-        roots = components(near)
-        placed = left.select("k", "v", "sid", "n").join(roots, F.col("sid") == roots.node, "left").select("k", "v", "sid", "n", F.coalesce("root", "sid").alias("root"))
-        placed = materialize(placed, "placed")
-        split = placed.groupBy("k", "v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("sid", "n", "root"), F.xxhash64(F.lit(turn), "sid")).alias("head"))
-        left = materialize(placed.join(materialize(split.where("lo != hi").select("k", "v", "head"), "split"), ["k", "v"]), "left")
-        if turn == TURNS or left.isEmpty():
-            break
-        other = left.where("root != head.root").where(alike(F.col("n"), F.col("head.n"), similarity))
-        pairs = other.select(F.least("sid", "head.sid").alias("a"), F.greatest("sid", "head.sid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        near = near.unionByName(materialize(verified(pairs, sets, similarity), "near"))
-        tried = tried.unionByName(pairs)
+    roots = components(near)
+    points = points.join(lone_shingles(sets), "sid", "left").withColumn("core", F.col("n") - F.coalesce("lone", F.lit(0)))
+    left = divided(points.where(F.col("core") >= similarity * F.col("n") - 1e-9), roots)
+    if left.isEmpty():
+        return roots
+    other = left.where("root != head.root").where(alike(F.col("n"), F.col("head.n"), similarity))
+    other = other.where(reaching(F.least("core", "head.core"), F.col("n"), F.col("head.n"), similarity))
+    pairs = other.select(F.least("sid", "head.sid").alias("a"), F.greatest("sid", "head.sid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    near = near.unionByName(materialize(verified(materialize(pairs, "pairs"), sets, similarity), "near"))
+    roots = components(near)
+    left = divided(left, roots)
     if left.isEmpty():
         return roots
-    other = left.select("k", "v", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("root").alias("to"))
+    left = left.withColumn("pivot", F.col("head.sid")).drop("head")
+    held = overlaps(left.select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct(), sets)
+    held = materialize(held.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "i"), "held")
+    bands = rows.join(left.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "bands")
+    left = materialize(left.join(held, ["sid", "pivot"]).join(bands, "sid"), "left")
+    other = left.select("k", "v", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("core").alias("most"), F.col("i").alias("j"), F.col("root").alias("to"), F.col("bands").alias("others"))
+    common = F.least("i", "j") + F.greatest(F.least(F.col("core") - F.col("i"), F.col("most") - F.col("j")), F.lit(0))
+    sooner = reduce(or_, [(F.col("k") > k) & (F.col("bands")[k] == F.col("others")[k]) for k in range(BANDS - 1)])
     more = left.join(other, ["k", "v"]).where("sid < b and root != to").where(alike(F.col("n"), F.col("m"), similarity))
-    more = more.select(F.col("sid").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti")
-    return components(near.unionByName(verified(materialize(more, "pairs"), sets, similarity)))
+    more = more.where(reaching(F.least("core", "most"), F.col("n"), F.col("m"), similarity)).where(reaching(common, F.col("n"), F.col("m"), similarity)).where(~sooner)
+    return components(near.unionByName(verified(materialize(more.select(F.col("sid").alias("a"), "b"), "pairs"), sets, similarity)))
 
 
 def drop_similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

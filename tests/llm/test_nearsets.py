@@ -89,3 +89,23 @@ def test_a_large_group_of_near_copies_leaves_no_pairs(spark, monkeypatch):
     kept = nearsets.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == survivors(rows)[0]
     assert sum(found) < 10 * 300 * 10
+
+
+def test_stragglers_of_a_large_group_are_not_compared_in_pairs(spark, monkeypatch):
+    """Near copies too far from one another, with some edits that recur, were all compared pair by pair, in each band that they share."""
+    rows, rng, words = [], random.Random(3), [f"w{i}" for i in range(150)]
+    for i in range(400):
+        edited = list(words)
+        for at in rng.sample(range(150), rng.choice((1, 3, 5, 7))):
+            edited[at] = rng.choice(("common", f"x{rng.randrange(10**6)}"))
+        rows.append((i, " ".join(edited)))
+    found, verified = [], nearsets.verified
+    monkeypatch.setattr(nearsets, "verified", lambda pairs, *more: found.append(pairs.count()) or verified(pairs, *more))
+    kept = nearsets.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == survivors(rows)[0]
+    assert found[-1] < 50 * 400
+
+
+def test_lone_shingles_count_what_no_other_set_has(spark):
+    sets = spark.createDataFrame([(1, [1, 2, 3]), (2, [2, 3, 4, 5]), (3, [2])], "sid long, items array<long>")
+    assert sorted(map(tuple, nearsets.lone_shingles(sets).collect())) == [(1, 1), (2, 2)]
