@@ -19,7 +19,8 @@ factor of that length if a smaller position stands before it (previous smaller v
 removes what has either. Common prefixes are found by rolling hashes and proved on the bytes.
 
 A group above ``group`` classes is not gathered: its windows are hashed (128 bits) and counted by an
-aggregation, which combines before the shuffle, and joined back. Both ways give the same bytes.
+aggregation, which combines before the shuffle. It gives the place of each window that stays; all others of the group's
+contexts go, so that nothing is joined back. Both ways give the same bytes.
 
 Shorter passages stay, but the same order shows them: n_shared counts the bytes in strings of ``floor`` bytes that
 the context of the same owner in another document has too, at every ``step``-th place from the owner. It misses a
@@ -388,7 +389,9 @@ def candidates(docs: DataFrame, length: int, gram: int, keep: str, group: int) -
 
 
 def repeats(found: DataFrame, length: int, floor: int, step: int, gram: int, keep: str, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, th, kind, a, b): bytes that go (kind 0) and that another document has (kind 1), from contexts that are not wholly equal."""
+    """(doc_id, th, kind, a, b), from contexts that are not wholly equal: bytes that go (kind 0) and that another document has (kind 1);
+    in groups above the limit, the strings that stay (kind 2) and that no other document has (kind 3), all others being of kind 0 or 1.
+    """
     keep_first = {"first": True, "none": False}[keep]
     some = lambda hot: found.where(F.exists("spots", lambda s: s["rep"] & (s["hot"] == hot)))
     contexts = lambda hot: some(hot).select("doc_id", "th", "data", "spots").mapInArrow(_contexts(length, hot), CONTEXT)
@@ -396,12 +399,12 @@ def repeats(found: DataFrame, length: int, floor: int, step: int, gram: int, kee
     marked = dealt.mapInArrow(_verify(length, floor, step, gram, keep_first, chunk), MARK)
     if not some(True).isEmpty():
         windows = materialize(contexts(True).mapInArrow(_window_hashes(length, floor, step), f"{MARK}, w1 long, w2 long"), "windows")
-        place, who = F.struct("doc_id", "th", "a"), F.struct("doc_id", "th")
-        counted = windows.groupBy("kind", "w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least"), (F.min(who) != F.max(who)).alias("across"))
-        counted = materialize(counted.where("n > 1").drop("n"), "counted")
-        goes = (F.col("kind") == 0) & (F.lit(not keep_first) | (F.col("least") != place))
-        again = windows.join(counted, ["kind", "w1", "w2"]).where(goes | ((F.col("kind") == 1) & F.col("across")))
-        marked = marked.unionByName(again.select("doc_id", "th", "kind", "a", "b"))
+        strings = windows.where("kind = 0").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "a", "b")).alias("least"))
+        stay = strings.where(F.lit(keep_first) | (F.col("n") == 1)).select("least.doc_id", "least.th", F.lit(2).cast("byte").alias("kind"), "least.a", "least.b")
+        of_doc = windows.where("kind = 1").groupBy("w1", "w2", "doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("places"))
+        of_all = of_doc.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", F.sort_array("places").alias("places"))).alias("least"))
+        own = of_all.where("n = 1").select("least.doc_id", "least.th", F.lit(3).cast("byte").alias("kind"), F.inline("least.places"))
+        marked = marked.unionByName(stay).unionByName(own)
     return marked
 
 
@@ -424,14 +427,25 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 CUT = "n_removed long, n_spans long, n_shared long, kept binary, kept_sha256 string"
 
 
-def _cut(length: int):
+def others(spots: list, kept: set[int], size: int, step: int, length: int) -> list[tuple[int, int]]:
+    """The strings of ``size`` bytes at every ``step``-th place from the owner, in contexts of groups above the limit, that do not start at ``kept``."""
+    hot = (s for s in spots if s["rep"] and s["hot"])
+    starts = (a for s in hot for a in range(s["first"] + (s["p"] - s["first"]) % step, s["last"] + length - size + 1, step))
+    return [(a, a + size) for a in starts if a not in kept]
+
+
+def _cut(length: int, floor: int, step: int):
     def run(data: pd.Series, spots: pd.Series, marks: pd.Series) -> pd.DataFrame:
         out = []
         for x, own, more in zip(data, spots, marks, strict=True):
-            more = [] if more is None else more
+            of: list[list[tuple[int, int]]] = [[], [], [], []]
+            for m in [] if more is None else more:
+                of[m["kind"]].append((m["a"], m["b"]))
+            stay, alone = ({a for a, _ in of[kind]} for kind in (2, 3))
             gone = [(s["first"], s["last"] + length) for s in own if s["whole"]]
-            runs = merged(gone + [(m["a"], m["b"]) for m in more if m["kind"] == 0])
-            shared = merged([(s["first"], s["last"] + length) for s in own if s["across"]] + [(m["a"], m["b"]) for m in more if m["kind"] == 1])
+            runs = merged(gone + of[0] + others(own, stay, length, 1, length))
+            also = [(s["first"], s["last"] + length) for s in own if s["across"]]
+            shared = merged(also + of[1] + others(own, alone, floor, step, length))
             kept = kept_bytes(bytes(x), runs)
             out.append((sum(b - a for a, b in runs), len(runs), sum(b - a for a, b in shared), kept, sha256(kept).hexdigest()))
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "n_shared", "kept", "kept_sha256"])
@@ -447,7 +461,7 @@ def cut_documents(docs: DataFrame, length: int = LENGTH, floor: int | None = Non
     found = candidates(docs, length, gram, keep, group)
     marks = repeats(found, length, floor or length, step, gram, keep, chunk).groupBy("doc_id", "th").agg(F.collect_set(F.struct("kind", "a", "b")).alias("marks"))
     once = same_row(found, marks, "left").dropDuplicates(["doc_id", "th"])
-    cut = once.select("doc_id", "th", _cut(length)("data", "spots", "marks").alias("c")).select("doc_id", "th", "c.*")
+    cut = once.select("doc_id", "th", _cut(length, floor or length, step)("data", "spots", "marks").alias("c")).select("doc_id", "th", "c.*")
     return cut.where("n_removed > 0 or n_shared > 0")
 
 

@@ -222,3 +222,12 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
 def test_invalid_choice(docs):
     with pytest.raises(KeyError):
         lpf.repeats(docs.select("doc_id", F.lit(0).alias("th")), 40, 40, 4, 8, "all")
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_large_groups_are_not_joined_back(docs, keep):
+    """Every window of a common passage was a row of a join, in each document that has it."""
+    found = lpf.candidates(docs.select("doc_id", "text"), 40, 8, keep, 1)
+    marks = lpf.repeats(found, 40, 40, 1, 8, keep)
+    assert "Join" not in marks._jdf.queryExecution().toString()
+    assert {r["kind"] for r in marks.select("kind").distinct().collect()} >= {2, 3}
