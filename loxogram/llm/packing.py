@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,13 +34,55 @@ PACKED = f"{PIECES}, sequence_id long, offset long"
 _encoders: dict[str, WordCache] = {}
 
 
+class Known:
+    """Strings and what each stands for, as Arrow arrays: a few bytes a string, where a dictionary takes hundreds."""
+
+    def __init__(self, limit: int, longest: int, learn: Callable[[pa.Array], pa.Array]):
+        self.limit, self.longest, self.learn = limit, longest, learn
+        self.keys, self.values = pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+    def get(self, strings: pa.Array) -> pa.Array:
+        """The values of distinct strings; those not met before are learnt, and kept if short.
+
+        Beyond the limit, those stay that these strings name.
+        """
+        at = pc.index_in(strings, value_set=self.keys)
+        missing = at.is_null()
+        new = strings.filter(missing)
+        if not len(new):
+            return self.values.take(at)
+        learnt = self.learn(new)
+        places = pc.fill_null(at, 0).to_numpy().copy()
+        places[missing.to_numpy(zero_copy_only=False)] = len(self.keys) + np.arange(len(new), dtype=places.dtype)
+        found = pa.concat_arrays([self.values, learnt]).take(pa.array(places))
+        if len(self.keys) + len(new) > self.limit:
+            self.keys, self.values, new, learnt = self.keys[:0], self.values[:0], strings[: self.limit], found[: self.limit]
+        short = pc.less_equal(pc.binary_length(new), self.longest)
+        self.keys = pa.concat_arrays([self.keys, new.filter(short)])
+        self.values = pa.concat_arrays([self.values, learnt.filter(short)])
+        return found
+
+
+def cut_up(raw: bytes | pa.Buffer, cuts: np.ndarray) -> pa.Array:
+    """The strings of bytes between cuts."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw)])
+
+
+def laid_out(values: pa.Array) -> tuple[pa.Buffer | bytes, np.ndarray]:
+    """The bytes of all values, and where each begins and ends. Either buffer can be left out where there is none."""
+    _, cuts, raw = values.buffers()
+    if not len(values):
+        return b"", np.zeros(1, dtype=np.int64)
+    return raw or b"", np.frombuffer(cuts, dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+
+
 class WordCache:
     """Ids of texts by way of their whitespace-separated words.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its
     words in order. A word of printable ASCII and Latin-1 letters splits further into the tokenizer's own
     pre-tokens, which need its merges alone. Only what was not met before is encoded, many words in one
-    call. The cache holds a bounded number of words.
+    call. The cache holds a bounded number of words and of pre-tokens.
     """
 
     LIMIT, LONG, CALL = 1_000_000, 48, 500
@@ -54,8 +96,8 @@ class WordCache:
         from tokenizers import Tokenizer, pre_tokenizers
 
         def merges(*steps) -> Tokenizer:
-            t = Tokenizer.from_file(path)
-            t.normalizer, t.pre_tokenizer = None, pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), *steps])
+            t = Tokenizer(self.tokenizer.model)  # the same one, not a copy
+            t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), *steps])
             return t
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,78 +106,60 @@ class WordCache:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words = Known(self.LIMIT, self.LONG, self.learn)
+        self.parts = Known(self.LIMIT, self.LONG, self.learn_parts)
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn_words(self, new: list[str]) -> None:
+    def learn_words(self, new: list[str]) -> pa.Array:
         """Any words: offsets tell which word a token comes from."""
+        raw, cuts = [], [np.zeros(1, dtype=np.int64)]
         for k in range(0, len(new), self.CALL):
             some = new[k : k + self.CALL]
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ends = np.cumsum([len(w) + 1 for w in some])
             at = np.searchsorted(ends, [a for a, _ in e.offsets], side="right")
-            cuts = (4 * np.searchsorted(at, np.arange(len(some) + 1))).tolist()
-            raw = np.array(e.ids, dtype="<u4").tobytes()
-            for w, a, b in zip(some, cuts, cuts[1:], strict=False):
-                self.words[w] = raw[a:b]
-
-    def learn_parts(self, new: list[str], merges) -> None:
-        """Lower-case pre-tokens: the last token of each is one that ends a word."""
-        for k in range(0, len(new), self.CALL):
-            some = new[k : k + self.CALL]
-            ids = np.array(merges.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            cuts = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
-            raw = ids.tobytes()
-            for w, a, b in zip(some, [0, *cuts], cuts, strict=False):
-                self.parts[w] = raw[a:b]
-
-    def learn(self, new: list[str]) -> None:
+            cuts.append(cuts[-1][-1] + 4 * np.searchsorted(at, np.arange(1, len(some) + 1)))
+            raw.append(np.array(e.ids, dtype="<u4").tobytes())
+        return cut_up(b"".join(raw), np.concatenate(cuts))
+
+    def learn_parts(self, new: pa.Array) -> pa.Array:
+        """Lower-case pre-tokens: the last token of each is one that ends a word. The line's end has none."""
+        kinds = np.where(pc.string_is_ascii(new).to_numpy(zero_copy_only=False), 1, 2)
+        kinds[pc.equal(new, "\n").to_numpy(zero_copy_only=False)] = 0
+        ids, sizes = [], [np.zeros(np.count_nonzero(kinds == 0), dtype=np.int64)]
+        for kind, merges in ((1, self.ascii_merges), (2, self.latin_merges)):
+            some = listed(new.filter(pa.array(kinds == kind)))
+            calls = [np.array(merges.encode_batch_fast([" ".join(some[k : k + self.CALL])], add_special_tokens=False)[0].ids, dtype="<u4") for k in range(0, len(some), self.CALL)]
+            own = np.concatenate([np.zeros(0, dtype="<u4"), *calls])
+            ids.append(own)
+            sizes.append(np.diff(np.flatnonzero(self.ends_word[own]) + 1, prepend=0))
+        cuts = np.concatenate([[0], np.cumsum(4 * np.concatenate(sizes))])
+        return reordered(cut_up(np.concatenate(ids).tobytes(), cuts), kinds)
+
+    def learn(self, new: pa.Array) -> pa.Array:
         """Plain words are split in one go, a line each; their ids are those of their parts, joined."""
-        words = pa.array(new, pa.string())
-        plain = pc.match_substring_regex(words, self.PLAIN)
-        self.learn_words(words.filter(pc.invert(plain)).to_pylist())
-        simple = words.filter(plain).to_pylist()
-        flat = self.PARTS.findall("\n".join([*simple, ""]).lower())
-        self.parts["\n"] = b""
-        unseen = set(flat) - self.parts.keys()
-        self.learn_parts([p for p in unseen if p.isascii()], self.ascii_merges)
-        self.learn_parts([p for p in unseen if not p.isascii()], self.latin_merges)
-        ids = list(map(self.parts.__getitem__, flat))
-        ends = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
-        cuts = ends[np.fromiter(map("\n".__eq__, flat), dtype=bool, count=len(flat))].tolist()
-        raw = b"".join(ids)
-        self.words.update(zip(simple, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+        plain = pc.match_substring_regex(new, self.PLAIN)
+        others = self.learn_words(listed(new.filter(pc.invert(plain))))
+        flat = pa.array(self.PARTS.findall("\n".join([*listed(new.filter(plain)), ""]).lower()), pa.string()).dictionary_encode()
+        joined = self.parts.get(flat.dictionary).take(flat.indices)
+        lines = pc.equal(flat.dictionary, "\n").to_numpy(zero_copy_only=False)[flat.indices.to_numpy()]
+        raw, cuts = laid_out(joined)
+        words = cut_up(raw, np.concatenate([[0], cuts[1:][lines]]))
+        return reordered(pa.concat_arrays([words, others]), pc.invert(plain).to_numpy(zero_copy_only=False))
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each begins and ends. Distinct words are looked up once."""
-        if len(self.words) > self.LIMIT:
-            self.words.clear()
-        if len(self.parts) > self.LIMIT:
-            self.parts.clear()
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, self.ODD)
         split = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        lines = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
         words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        found = list(map(self.words.get, distinct))
-        new = [w for w, x in zip(distinct, found, strict=True) if x is None]
-        if new:
-            self.learn(new)
-            found = list(map(self.words.__getitem__, distinct))
-            for w in new:
-                if len(w) > self.LONG:
-                    del self.words[w]
-        at = words.indices.to_numpy(zero_copy_only=False)
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        starts = np.cumsum(sizes) - sizes
-        each = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        vocabulary = np.frombuffer(b"".join(found), dtype="<u4")
-        ids = vocabulary[np.repeat(starts[at] - ends[:-1], each) + np.arange(ends[-1])]
-        cuts = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])]
+        del split
+        raw, cuts = laid_out(self.words.get(words.dictionary).take(words.indices))
+        cuts = cuts[lines] // 4
+        ids = np.frombuffer(raw, dtype="<u4", count=cuts[-1])
         if pc.any(odd).as_py():
             out = [self.direct(t) if o else ids[a:b].tobytes() for t, o, a, b in zip(texts.to_pylist(), odd.to_pylist(), cuts, cuts[1:], strict=False)]
             cuts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])])
@@ -143,6 +167,18 @@ class WordCache:
         return ids, cuts
 
 
+def listed(strings: pa.Array) -> list[str]:
+    """to_pylist() makes a scalar of each string first."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+def reordered(values: pa.Array, kinds: np.ndarray) -> pa.Array:
+    """Values that come kind by kind, in the order of the kinds given."""
+    back = np.empty(len(kinds), dtype=np.int64)
+    back[np.argsort(kinds, kind="stable")] = np.arange(len(kinds))
+    return values.take(pa.array(back))
+
+
 def _pieces(tokenizer: str, sequence: int, end_id: int, with_ids: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.setdefault(tokenizer, None) or WordCache(tokenizer)

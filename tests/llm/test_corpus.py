@@ -1,8 +1,10 @@
 """Language, quality, sharding, archives, contamination, packing, and the pipeline."""
 
+import cProfile
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -197,6 +199,48 @@ def test_word_cache_equals_the_tokenizer(rows):
             assert ids[a:b].tobytes() == np.array(cache.tokenizer.encode(t, add_special_tokens=False).ids if t else [], dtype="<u4").tobytes(), t and t[:40]
 
 
+def many_words(n, seed=5):
+    rng = random.Random(seed)
+    return sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(n)})
+
+
+def test_words_are_looked_up_as_arrays():
+    """No call for each word, whether it is new or known."""
+    cache, words = packing.WordCache(public_tokenizers.path("word_bpe_49k.json")), many_words(20_000)
+    cache.batch(pa.array(["warm up"]))
+    for _ in range(2):
+        profile = cProfile.Profile()
+        profile.runcall(cache.batch, pa.array([" ".join(words)]))
+        assert sum(x.callcount for x in profile.getstats()) < len(words) / 10
+
+
+def test_known_words_take_few_bytes():
+    cache, words = packing.WordCache(public_tokenizers.path("word_bpe_49k.json")), many_words(50_000)
+    text = pa.array([" ".join(words)])
+    cache.batch(pa.array(["warm up"]))
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    cache.batch(text)
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 150 * len(words)
+
+
+def test_cache_beyond_its_limit(monkeypatch):
+    """A cache of 40 words gives the same ids, stays at 40, and is right for no, null and blank texts as for words without plain ones."""
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    monkeypatch.setattr(packing.WordCache, "LIMIT", 40)
+    cache = packing.WordCache(path)
+    word = lambda: "".join(rng.choice("abcdefgxyzABZ'0123!?.,-éÉßÿÀ×日\u0301µ\x85") for _ in range(rng.choice([1, 2, 3, 5, 60])))
+    drawn = [[" ".join(word() for _ in range(rng.randrange(30))) for _ in range(5)] for _ in range(60)]
+    for texts in [[], [None], ["", " \n"], ["日本"], ["a\x1cb"], ["''", "é"], *drawn]:
+        ids, cuts = cache.batch(pa.array(texts, pa.string()))
+        assert len(cuts) == len(texts) + 1
+        for t, a, b in zip(texts, cuts[:-1], cuts[1:], strict=True):
+            assert ids[a:b].tobytes() == (cache.direct(t) if t else b""), t
+        assert max(len(cache.words.keys), len(cache.parts.keys)) <= 40
+
+
 def check_packing(found, wanted, sequence):
     """wanted: a Counter of (doc_id, piece, start, length, crc)."""
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == wanted
