@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-SEQUENCE, END_ID, GROUP_PIECES, BATCH_BYTES = 4096, 1, 50_000, 12 << 20
+SEQUENCE, END_ID, GROUP_PIECES, BATCH_BYTES = 4096, 1, 50_000, 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
@@ -85,7 +85,7 @@ class WordCache:
     call. The cache holds a bounded number of words and of pre-tokens.
     """
 
-    LIMIT, LONG, CALL = 1_000_000, 48, 500
+    LIMIT, LONG, CALL = 300_000, 48, 500
     #: The pre-tokenizer's pattern for these characters after lower-casing (fixed value of the vocabulary file).
     PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+|\n")
     PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"

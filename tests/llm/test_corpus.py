@@ -226,6 +226,21 @@ def test_known_words_take_few_bytes():
     assert held < 150 * len(words)
 
 
+def test_encoding_takes_little_memory():
+    """Six texts of 1 MB in one batch, all of different words: what Python and NumPy hold at most."""
+    path, words = public_tokenizers.path("word_bpe_49k.json"), many_words(600_000)
+    batch = pa.record_batch([pa.array(range(6)), pa.array([" ".join(words[k::6]) for k in range(6)])], names=["doc_id", "text"])
+    del words
+    run = packing._pieces(path, 4096, 1)
+    list(run(iter([batch.slice(0, 0)])))
+    tracemalloc.start()
+    assert sum(b.num_rows for b in run(iter([batch]))) > 6
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    packing._encoders.clear()
+    assert peak < 130e6, peak
+
+
 def test_cache_beyond_its_limit(monkeypatch):
     """A cache of 40 words gives the same ids, stays at 40, and is right for no, null and blank texts as for words without plain ones."""
     path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
